@@ -4,8 +4,8 @@ A text's words (runs other than white space, at most 16 characters; single chara
 hashed. Of each K words in a row, the K-S+1 inner runs of S words are hashed too; the K words are chosen if the smallest of
 those stands at either edge. The choice depends on the K words alone, so equal passages have the same anchors
 wherever they stand, and anchors keep their places for positional matching. A fingerprint is the set of the smallest
-KEPT anchor hashes, in ascending order. Texts of fewer than K words, and those without a chosen run, have their
-words as anchors. Null and empty texts, and texts without words, have the empty fingerprint; it is like itself (1) and unlike others (0).
+KEPT anchor hashes, in ascending order. In texts of fewer than FEW words, and in those without a chosen run, single words are
+anchors too. Null and empty texts, and texts without words, have the empty fingerprint; it is like itself (1) and unlike others (0).
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words of a run, words of an inner run, anchors of a fingerprint.
-K, S, KEPT = 5, 2, 128
+K, S, KEPT = 3, 1, 128
+#: Texts of fewer words have their words as anchors too.
+FEW = 16
 _ALONE = r"⺀-鿿가-힯฀-๿"
 WORD = rf"[{_ALONE}]|[^\s{_ALONE}]{{1,16}}"
 
@@ -31,13 +33,14 @@ def anchors(text: Column) -> Column:
     def chosen(h: Column, inner: Column) -> Column:
         places = F.sequence(F.lit(0), F.size(h) - K)
         ends = lambda i: F.least(inner[i], inner[i + (K - S)])
-        middle = lambda i: F.least(*[inner[i + j] for j in range(1, K - S)])
+        middle = lambda i: F.least(*[inner[i + j] for j in range(1, K - S)]) if K - S > 2 else inner[i + 1]
         return F.transform(F.filter(places, lambda i: ends(i) <= middle(i)), lambda i: F.struct(i.alias("place"), F.xxhash64(*[h[i + j] for j in range(K)]).alias("hash")))
 
     def of(h: Column) -> Column:
         inner = F.transform(F.sequence(F.lit(0), F.size(h) - S), lambda i: F.xxhash64(*[h[i + j] for j in range(S)]))
         single = F.transform(h, lambda x, i: F.struct(i.alias("place"), x.alias("hash")))
-        return F.when(F.size(h) < K, single).otherwise(_let(inner, lambda s: _let(chosen(h, s), lambda c: F.when(F.size(c) > 0, c).otherwise(single))))
+        runs = _let(inner, lambda s: _let(chosen(h, s), lambda c: F.when((F.size(c) == 0) | (F.size(h) < FEW), F.concat(c, single)).otherwise(c)))
+        return F.when(F.size(h) < K, single).otherwise(runs)
 
     return _let(F.transform(words, lambda w: F.xxhash64(w)), of)
 

@@ -3,8 +3,9 @@
 Features are hashed trigrams of lower-cased bytes (anything but letters counts as one space), weighted by the square root of
 their count and by inverse document frequency over all rows that may be learned from, and normalised. Each language's
 sampled vectors are clustered into a few centroids (spherical k-means); a text gets the language of the centroid with
-the largest cosine. A text is rejected if that cosine is below half of what the least typical training text of the
-centroid has, or if it is null or has no letter (language `und`, score 0).
+the largest cosine. A text is rejected if that cosine is below a share (NEAR) of what the least typical training text of the
+centroid has, or if it is null or has no letter (language `und`, score 0); of texts of fewer than 64 trigrams, whose cosines
+are small by nature, less is asked, by the square root of their number.
 
 The sample that centroids are fitted on is bounded: about PER_LANGUAGE rows of each language, picked by a hash of the id.
 Without rows to learn from, every text is `und`. Repeated rows get equal results.
@@ -25,6 +26,9 @@ from .common import LETTER, flat, tune
 #: Hashed dimensions; training rows of a language (a bound on the sample); centroids of a language.
 DIMENSIONS, PER_LANGUAGE, CENTROIDS = 4096, 300, 3
 
+#: A text is rejected below this share of the smallest training cosine.
+NEAR = 0.3
+
 _CLASS = np.full(256, 0x20, np.uint32)
 _CLASS[0x41:0x5B] = np.arange(0x61, 0x7B)
 _CLASS[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -65,10 +69,11 @@ class LanguageModel:
         lettered = np.array([bool(t) and LETTER.search(t) is not None for t in texts], bool)
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        near = self.vectors(counts(data, at)) @ self.centroids.T
+        found = counts(data, at)
+        near = self.vectors(found) @ self.centroids.T
         best = near.argmax(1)
         score = np.clip(near[np.arange(len(best)), best], 0, 1) * lettered
-        return [self.languages[k] if ok else "und" for k, ok in zip(best, lettered, strict=True)], score.astype(float), ~lettered | (score < 0.5 * self.least[best])
+        return [self.languages[k] if ok else "und" for k, ok in zip(best, lettered, strict=True)], score.astype(float), ~lettered | (score < NEAR * self.least[best] * np.sqrt(np.minimum(1, found.sum(1) / 64)))
 
 
 def _cluster(x: np.ndarray, k: int, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
