@@ -1,11 +1,11 @@
 """Near duplicates by HyperMinHash.
 
 A text's words are the runs of other bytes between \\x20 and \\x09-\\x0D, A-Z lower-cased; its set is that of its five-word
-shingles (with fewer words, the whole sequence as one; without words, empty and linked with nothing). Each of 640
+shingles (with fewer words, the whole sequence as one; without words, empty and linked with nothing). Each of 288
 buckets keeps the smallest hash of the set under its own permutation, compressed to the count of leading zeros and ten
-bits of mantissa. Texts of equal sets are one class. Bands of eight registers put classes together; a pair is tried only if
+bits of mantissa. Texts of equal sets are one class. Bands of six registers put classes together; a pair is tried only if
 the estimate from the registers, corrected for chance collisions, comes near the threshold, and linked only if the whole
-sets, made again from the texts, reach it. (A pair at exactly 0.75 shares no band with a probability of 2e-4; at 0.8, 4e-7.)
+sets, made again from the texts, reach it. (A pair at exactly 0.75 shares no band with a probability of 8e-5; at 0.8, 4e-7.)
 
 Within a band's group no list of all pairs is made: all members are tried against one, the member that shares most groups;
 members that this leaves in other components are tried against others in further rounds, as long as their pairs outnumber
@@ -24,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, cut, flat, tune
+from .common import IS_SPACE, cut, flat, kept_table, tune
 from .hashing import U, hash_runs, mix
 
 #: Words of a shingle; registers, and registers of a band; bits of a register's mantissa.
-WORDS, REGISTERS, BAND, MANTISSA = 5, 640, 8, 10
-#: Estimates of this much less than the threshold are still tried: over five standard errors.
-MARGIN = 0.12
+WORDS, REGISTERS, BAND, MANTISSA = 5, 288, 6, 10
+#: Estimates of this much less than the threshold are still tried: near six standard errors.
+MARGIN = 0.15
 
-_random = np.random.default_rng(640)
+_random = np.random.default_rng(288)
 _FLIP = _random.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
 _TIMES = _random.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
 _PLACES = _random.integers(0, 1 << 63, WORDS, dtype=np.uint64) | U(1)
@@ -94,18 +94,59 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return np.clip((same - chance) / (1 - chance), 0, 1)
 
 
-def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, n_shingles, digest (of the set), sketch (registers) of each row."""
+#: Up to this number of ids (8 bytes each) are broadcast to pick texts; more are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def sets(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """id, n_shingles, digest (of the set) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = shingles(*flat(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([digest(s) for s in found], pa.binary())], names=["id", "n_shingles", "digest"])
+
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(run, "id long, n_shingles long, digest binary")
+
+
+def mark_of(column: str):
+    """The first eight bytes of a digest, least first, as a signed number."""
+    high_first = F.concat(*[F.hex(F.substring(column, i, 1)) for i in range(8, 0, -1)])
+    return F.conv(high_first, 16, -10).cast("long")
+
+
+def digest(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+
+
+def banded(docs: DataFrame, text: str) -> DataFrame:
+    """band, mark (the first bytes of the set's digest as a number): a row for each band of each text that has a set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt = mix(np.arange(1, REGISTERS // BAND + 1, dtype=np.uint64))
+        for b in batches:
+            found = [s for s in shingles(*flat(b.column(0))) if len(s)]
+            if not found:
+                continue
+            r = np.stack([registers(s) for s in found]).reshape(len(found), -1, BAND).astype(np.uint64)
+            h = np.zeros(r.shape[:2], np.uint64) + salt
+            for i in range(BAND):
+                h = mix(h ^ (r[:, :, i] + U(i + 1)) * U(0x9E3779B97F4A7C15))
+            mark = np.array([int.from_bytes(digest(s)[:8], "little", signed=True) for s in found], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(mark, h.shape[1]))], names=["band", "mark"])
+
+    return docs.select(text).mapInArrow(run, "band long, mark long")
+
+
+def with_registers(rows: DataFrame) -> DataFrame:
+    """id, n_shingles, sketch (registers), body of the texts in rows (id, body)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = shingles(*flat(b.column(1)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([registers(s).tobytes() if len(s) else b"" for s in sets], pa.binary())],
-                names=["id", "n_shingles", "digest", "sketch"],
-            )
+            found = shingles(*flat(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([registers(s).tobytes() for s in found], pa.binary()), b.column(1)], names=["id", "n_shingles", "sketch", "body"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(run, "id long, n_shingles long, digest binary, sketch binary")
+    return rows.mapInArrow(run, "id long, n_shingles long, sketch binary, body string")
 
 
 def verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
@@ -155,17 +196,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     """key, n_shingles, component_id (the smallest key reachable over links), kept (key = component_id); a row for each row."""
     tune(docs.sparkSession)
     spark = docs.sparkSession
-    all_rows = cut(sketches(docs, key, text))
-    classes = cut(all_rows.where("n_shingles > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")))
-    bands = REGISTERS // BAND
-    hashed = classes.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.col("sketch").substr(i * (2 * BAND) + 1, F.lit(2 * BAND))))).alias("band"))
-    shared = hashed.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("band", "n")
-    members = cut(hashed.join(shared, "band").select("band", "rep", "n"))
-    busy = members.groupBy("rep").agg(F.sum("n").alias("weight"))
-    whole = cut(
-        docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body"))
-        .join(classes.join(busy.select(F.col("rep").alias("id")), F.col("rep") == F.col("id"), "left_semi").select(F.col("rep").alias("id"), "sketch", "n_shingles"), "id")
-    )
+    all_rows = cut(sets(docs, key, text))
+    classes = cut(all_rows.where("n_shingles > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep")))
+    hashed = banded(docs.where(F.col(key).isNotNull()), text)
+    shared = hashed.groupBy("band").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("band")
+    named = classes.select("rep", mark_of("digest").alias("mark"))
+    found = cut(hashed.join(shared, "band").distinct())
+    members = found.join(named, "mark").select("band", "rep")
+    sizes = members.groupBy("band").agg(F.count("*").alias("n"))
+    members = cut(members.join(sizes, "band").select("band", "rep", "n"))
+    busy = cut(members.groupBy("rep").agg(F.sum("n").alias("weight")))
+    ids = busy.select(F.col("rep").alias("id"))
+    if busy.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    whole = kept_table(with_registers(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body")).join(ids, "id").select("id", "body")))
     members = members.join(busy, "rep")
     tried = spark.createDataFrame([], "a long, b long")
     links = tried
