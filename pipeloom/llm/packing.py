@@ -22,11 +22,11 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, tune
+from .common import flat, kept_table, tune
 from .vocab import ChunkMemory, take_runs, word_level
 
 #: Tokens of a shard, about; a shard is handled in one task.
-SHARD_TOKENS = 1_500_000
+SHARD_TOKENS = 500_000
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
 
@@ -44,23 +44,47 @@ def tokenised(data: np.ndarray, at: np.ndarray, path: str, end_id: int) -> tuple
     return out, each + 1
 
 
-def corpus_statistics(docs: DataFrame, path: str, vocabulary: int, end_id: int, text: str = "text") -> tuple[np.ndarray, int, int]:
-    """For each id the number of documents that hold it; documents; tokens. Gathers one number for each id of the vocabulary."""
+def distinct_cells(of: np.ndarray, ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (document, id) of all ids, in order, and how often each occurs."""
+    n = int(of[-1]) + 1 if len(of) else 0
+    cells = of * width + ids
+    cells = np.sort(cells.astype(np.uint32) if n * width < 1 << 32 else cells)
+    first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.zeros(0, np.int64)
+    found = cells[first].astype(np.int64)
+    return found // width, found % width, np.diff(np.append(first, len(cells)))
+
+
+def token_table(docs: DataFrame, path: str, end_id: int, key: str, text: str) -> DataFrame:
+    """id, ids (little-endian unsigned 16-bit integers) of each document, written once and read again."""
     tune(docs.sparkSession)
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, each = tokenised(*flat(b.column(1)), path, end_id)
+            raw, ends = ids.astype("<u2").tobytes(), np.concatenate([[0], np.cumsum(each)]).tolist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([raw[2 * s : 2 * e] for s, e in zip(ends, ends[1:])], pa.binary())], names=["id", "ids"])
+
+    return kept_table(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body")).mapInArrow(encode, "id long, ids binary"))
+
+
+def corpus_statistics(tokens: DataFrame, vocabulary: int) -> tuple[np.ndarray, int, int]:
+    """For each id the number of documents that hold it; documents; tokens. Gathers one number for each id of the vocabulary."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, tokens = np.zeros(vocabulary + 2, np.int64), 0, 0
+        df, n, total = np.zeros(vocabulary + 2, np.int64), 0, 0
         for b in batches:
-            ids, each = tokenised(*flat(b.column(0)), path, end_id)
-            df[: vocabulary] += np.bincount(np.unique(np.repeat(np.arange(len(each)), each) * vocabulary + ids) % vocabulary, minlength=vocabulary)
+            data, at = flat(b.column(0))
+            ids, each = data.view("<u2").astype(np.int64), np.diff(at) // 2
+            _, terms, _ = distinct_cells(np.repeat(np.arange(len(each)), each), ids, vocabulary)
+            df[:vocabulary] += np.bincount(terms, minlength=vocabulary)
             n += len(each)
-            tokens += len(ids)
-        df[vocabulary:] = n, tokens
+            total += len(ids)
+        df[vocabulary:] = n, total
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(df[some])], names=["id", "n"])
 
     df = np.zeros(vocabulary + 2, np.int64)
-    for r in docs.select(text).mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in tokens.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         df[r["id"]] = r["n"]
     return df[:vocabulary], int(df[vocabulary]), int(df[vocabulary + 1])
 
@@ -71,8 +95,7 @@ def fill_windows(ids: np.ndarray, each: np.ndarray, idf: np.ndarray, mean: float
     begin = np.cumsum(each) - each
     of = np.repeat(np.arange(n), each)
     width = len(idf)
-    cells, tf = np.unique(of * width + ids, return_counts=True)
-    doc, term = cells // width, cells % width
+    doc, term, tf = distinct_cells(of, ids, width)
     weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * each[doc] / mean))).astype(np.float32)
     terms_at = np.searchsorted(doc, np.arange(n + 1))
     by_term = np.argsort(term, kind="stable")  # the postings of each term, documents ascending
@@ -147,26 +170,18 @@ def fill_windows(ids: np.ndarray, each: np.ndarray, idf: np.ndarray, mean: float
 def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", size: int = 2048, end_id: int = 1, vocabulary: int = 49_408, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """A row for each piece: key, start (ids of its document before it), length, ids (little-endian unsigned 32-bit
     integers), doc_tokens, sequence_id, offset (in its sequence)."""
-    tune(docs.sparkSession)
-    df, n, tokens = corpus_statistics(docs, path, vocabulary, end_id, text)
+    assert vocabulary <= 1 << 16
+    table = token_table(docs, path, end_id, key, text)
+    df, n, tokens = corpus_statistics(table, vocabulary)
     idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
     mean, shards = max(1.0, tokens / max(1, n)), max(1, round(tokens / shard_tokens))
     shared = docs.sparkSession.sparkContext.broadcast(idf)  # a number for each id of the vocabulary
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body"))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, each = tokenised(*flat(b.column(1)), path, end_id)
-            raw, ends = ids.astype("<u2").tobytes(), np.concatenate([[0], np.cumsum(each)]).tolist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([raw[2 * s : 2 * e] for s, e in zip(ends, ends[1:])], pa.binary())], names=["id", "ids"])
-
-    assert vocabulary <= 1 << 16
-    dealt = rows.mapInArrow(encode, "id long, ids binary").withColumn("shard", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(shards)))
+    dealt = table.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(shards)))
 
     def one(group: pa.Table) -> pa.Table:
         group = group.take(pa.compute.sort_indices(group, [("id", "ascending"), ("ids", "ascending")]))
         shard = group.column("shard")[0].as_py()
-        ids = np.frombuffer(b"".join(group.column("ids").to_pylist()), "<u2").astype(np.uint32)
+        ids = np.frombuffer(b"".join(group.column("ids").to_pylist()), "<u2").astype(np.int64)
         each = np.array([len(x) // 2 for x in group.column("ids").to_pylist()], np.int64)
         begin = np.cumsum(each) - each
         pieces = fill_windows(ids, each, shared.value, mean, size)
