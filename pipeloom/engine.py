@@ -12,7 +12,7 @@ from .errors import Capability
 from .operators import group as g
 from .operators import join as j
 from .operators import shape as sh
-from .operators.context import Context
+from .operators.context import Context, bare
 from .plans.parse import Stage, parse
 from .sources import sinks
 from .sources.catalog import Catalog
@@ -65,12 +65,12 @@ class Engine:
         """The rows of the pipeline over a collection or a frame (a streaming one too, for stages that need no order)."""
         df = self.catalog.get(source) if isinstance(source, str) else source
         out, _ = self.run(df, pipeline)
-        return out.drop("__raw")
+        return bare(out)
 
     def compile(self, source: str | DataFrame, pipeline) -> Result:
         df = self.catalog.get(source) if isinstance(source, str) else source
         out, ctx = self.run(df, pipeline)
-        return Result(out.drop("__raw"), Capability.FULL_SUPPORT, ctx.warnings)
+        return Result(bare(out), Capability.FULL_SUPPORT, ctx.warnings)
 
     def documents(self, source: str | DataFrame, pipeline) -> DataFrame:
         """The same as one column of JSON documents."""

@@ -450,7 +450,7 @@ def _index_of(x, s):
 
     def find(c, d, i, *e):
         part = F.substring(c, F.lit(1), e[0].cast("int")) if e else c
-        at = F.locate(d, part, 1) if not rest else F.when(i > F.char_length(part), F.lit(0)).otherwise(_locate_from(part, d, i))
+        at = F.position(d, part) if not rest else F.when(i > F.char_length(part), F.lit(0)).otherwise(_locate_from(part, d, i))
         return (at - 1).cast("int")
 
     return text(v).then(find, text(sub), start, *([end] if end else []), kind=INT)
@@ -781,7 +781,7 @@ def _equal(*c: Column) -> Column:
 OPERATORS |= {
     "$setUnion": _set("$setUnion", _many(F.array_union), 1, None),
     "$setIntersection": _set("$setIntersection", _many(F.array_intersect), 1, None),
-    "$setDifference": _set("$setDifference", F.array_except, 2, 2),
+    "$setDifference": _set("$setDifference", lambda a, b: F.sort_array(F.array_except(a, b)), 2, 2),
     "$setEquals": _set("$setEquals", _equal, 2, None, BOOL),
     "$setIsSubset": _set("$setIsSubset", lambda a, b: F.size(F.array_except(a, b)) == 0, 2, 2, BOOL),
 }
@@ -825,10 +825,10 @@ def _object_to_array(x, s):
 
 @operator("$arrayToObject")
 def _array_to_object(x, s):
-    v = compiled(x[0] if isinstance(x, list) and len(x) == 1 and not isinstance(x[0], list) else x, s)
+    v = compiled(x[0] if isinstance(x, list) and len(x) == 1 else x, s)
     inner = elements(v)
     if isinstance(inner, T.ArrayType):  # pairs
-        return v.then(lambda c: F.map_from_entries(F.transform(c, lambda e: F.struct(e[0].cast("string"), e[1]))))
+        return v.then(lambda c: F.map_from_entries(F.transform(c, lambda e: F.struct(F.get(e, F.lit(0)).cast("string"), F.get(e, F.lit(1))))))
     return v.then(lambda c: F.map_from_entries(F.transform(c, lambda e: F.struct(e["k"].cast("string"), e["v"]))))
 
 

@@ -27,7 +27,7 @@ class Context:
     warnings: list[str] = field(default_factory=list)
 
     def scope(self, df: DataFrame) -> Scope:
-        s = Scope(df, hidden=(*self.carry, "__raw"))
+        s = Scope(df, hidden=tuple(c for c in df.columns if is_hidden(c)))
         return s.bind(**{k: Value(F.col(quoted(c)), df, kind=df.schema[c].dataType) for k, c in self.variables.items() if c in df.columns})
 
     def sorted(self, order: Order) -> Context:
@@ -37,8 +37,26 @@ class Context:
         return replace(self, order=[])
 
     def kept(self) -> list[Column]:
+        """The columns whose unlike values keep rows apart."""
         return [F.col(quoted(c)) for c in self.carry]
 
 
-def visible(df: DataFrame, ctx: Context) -> list[str]:
-    return [c for c in df.columns if c not in ctx.carry and c != "__raw"]
+#: Columns that aren't part of documents: variables of lookups, sort keys, raw documents.
+HIDDEN = ("__let_", "__sort_", "__raw")
+
+
+def is_hidden(name: str) -> bool:
+    return name.startswith(HIDDEN)
+
+
+def visible(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if not is_hidden(c)]
+
+
+def beside(df: DataFrame) -> list[Column]:
+    """Hidden columns that stay with a document when its fields change; not the raw document, which no longer fits."""
+    return [F.col(quoted(c)) for c in df.columns if is_hidden(c) and c != "__raw"]
+
+
+def bare(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if is_hidden(c)])

@@ -115,7 +115,7 @@ def facet(df: DataFrame, spec, ctx: Context):
     out = None
     for name, pipeline in spec.items():
         rows, after = ctx.run(df, pipeline, ctx)
-        doc = F.struct(*[F.col(quoted(c)) for c in visible(rows, after)])
+        doc = F.struct(*[F.col(quoted(c)) for c in visible(rows)])
         s = after.scope(rows)
         key = sort_key(after.order, s) if after.order else None
         if key is not None:

@@ -15,8 +15,8 @@ from ..names import segments
 from .context import Context, visible
 
 
-def _document(df: DataFrame, ctx: Context):
-    return F.struct(*[F.col(quoted(c)) for c in visible(df, ctx)])
+def _document(df: DataFrame):
+    return F.struct(*[F.col(quoted(c)) for c in visible(df)])
 
 
 def lookup(df: DataFrame, spec, ctx: Context):
@@ -30,9 +30,8 @@ def lookup(df: DataFrame, spec, ctx: Context):
     segments(name)
     right = ctx.catalog.get(spec["from"]).drop("__raw")
     local, foreign = ctx.scope(df).field(spec["localField"]), Scope(right).field(spec["foreignField"])
-    empty = Context(ctx.catalog, ctx.run)
     many = isinstance(local.type, T.ArrayType) or isinstance(foreign.type, T.ArrayType)
-    rows = right.select(foreign.col.alias("__f"), _document(right, empty).alias("__d"))
+    rows = right.select(foreign.col.alias("__f"), _document(right).alias("__d"))
     if isinstance(foreign.type, T.ArrayType):
         rows = rows.select(F.explode(F.array_distinct(F.when(F.size("__f") > 0, F.col("__f")).otherwise(F.array(F.lit(None))))).alias("__f"), "__d")
     match_type = foreign.type.elementType if isinstance(foreign.type, T.ArrayType) else foreign.type
@@ -110,7 +109,7 @@ def _pipeline(df: DataFrame, spec: dict, ctx: Context):
     else:
         rows = right
     rows, after = ctx.run(rows, stages, inner)
-    doc = _document(rows, after)
+    doc = _document(rows)
     key = sort_key(after.order, after.scope(rows)) if after.order else None
     if key is None:
         array = F.collect_list(doc)
@@ -149,7 +148,7 @@ def graph_lookup(df: DataFrame, spec, ctx: Context):
     start = compiled(spec["startWith"], ctx.scope(df))
     as_text = rank(to.type) != rank(back.type) or rank(to.type) != rank(start.type if not isinstance(start.type, T.ArrayType) else start.type.elementType)
     form = (lambda v: text(v).col) if as_text else (lambda v: v.col)
-    nodes = right.select(form(to).alias("__to"), (back.col if isinstance(back.type, T.ArrayType) else F.array(form(back))).alias("__next"), _document(right, Context(ctx.catalog, ctx.run)).alias("__doc"))
+    nodes = right.select(form(to).alias("__to"), (back.col if isinstance(back.type, T.ArrayType) else F.array(form(back))).alias("__next"), _document(right).alias("__doc"))
     nodes = cut(nodes.where(F.col("__to").isNotNull()).withColumn("__node", F.monotonically_increasing_id()))
     left = df.withColumn("__start", start.col if isinstance(start.type, T.ArrayType) else form(start))
     values = left.select("__start").where("__start is not null").distinct()

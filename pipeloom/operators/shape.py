@@ -11,7 +11,7 @@ from ..functions.expressions import compiled
 from ..functions.predicates import condition
 from ..functions.values import Scope, Value, is_null, quoted, rank, step, text
 from ..names import segments
-from .context import Context, visible
+from .context import Context, bare, beside, visible
 
 
 def match(df: DataFrame, spec, ctx: Context):
@@ -102,12 +102,12 @@ def project(df: DataFrame, spec, ctx: Context):
     if any(f is False for f in flags) and any(f is not False for f in flags):
         raise ValidationError("MIXED_PROJECT", "$project can't both keep and drop fields")
     if (flags and all(f is False for f in flags)) or (not flags and id_flag is False):
-        out = [_exclude(s.field(n), tree[n]).col.alias(n) if isinstance(tree.get(n), dict) else F.col(quoted(n)) for n in visible(df, ctx) if n not in tree or isinstance(tree[n], dict) or tree[n].flag]
-        return df.select(*out, *ctx.kept()), ctx
+        out = [_exclude(s.field(n), tree[n]).col.alias(n) if isinstance(tree.get(n), dict) else F.col(quoted(n)) for n in visible(df) if n not in tree or isinstance(tree[n], dict) or tree[n].flag]
+        return df.select(*out, *beside(df)), ctx
     out: dict[str, Column] = {}
     if "_id" in df.columns and "_id" not in tree:
         out["_id"] = F.col("_id")
-    kept = [n for n in visible(df, ctx) if n in tree and (isinstance(tree[n], dict) or tree[n].flag)]
+    kept = [n for n in visible(df) if n in tree and (isinstance(tree[n], dict) or tree[n].flag)]
     for n in [*kept, *[n for n in tree if n not in kept]]:
         t = tree[n]
         if isinstance(t, dict):
@@ -119,7 +119,7 @@ def project(df: DataFrame, spec, ctx: Context):
                 out[n] = F.col(quoted(n))
         elif t.flag is None:
             out[n] = compiled(t.spec, s).col
-    return df.select(*[c.alias(n) for n, c in out.items()], *ctx.kept()), ctx
+    return df.select(*[c.alias(n) for n, c in out.items()], *beside(df)), ctx
 
 
 def _set(value: Value | None, tree: dict, s: Scope) -> Value:
@@ -164,8 +164,8 @@ def replace_root(df: DataFrame, spec, ctx: Context):
         raise ValidationError("NOT_A_DOCUMENT", "a new root with fields known only at run time can't be a table")
     if not isinstance(v.type, T.StructType):
         raise ValidationError("NOT_A_DOCUMENT", "newRoot must be a document")
-    rows = df.select(v.col.alias("__new"), *ctx.kept())
-    return rows.select("__new.*", *ctx.kept()), ctx.unsorted()
+    rows = df.select(v.col.alias("__new"), *beside(df))
+    return rows.select("__new.*", *beside(df)), ctx
 
 
 # --- order and number
@@ -174,16 +174,19 @@ def replace_root(df: DataFrame, spec, ctx: Context):
 def sort(df: DataFrame, spec, ctx: Context):
     if not isinstance(spec, dict) or not spec:
         raise ValidationError("EMPTY_SORT", "$sort takes a document of fields")
-    s, keys, order = ctx.scope(df), [], []
+    df = df.drop(*[c for c in df.columns if c.startswith("__sort_")])
+    s, keys, order, copies = ctx.scope(df), [], [], {}
     for path, way in spec.items():
         if isinstance(way, bool) or not isinstance(way, (int, float)) or not -1 >= way and not way >= 1:
             raise ValidationError("BAD_DIRECTION", f"{path}: 1 or -1")
         c = s.field(path)
         if not is_null(c.type):
             keys.append(c.col.asc() if way > 0 else c.col.desc())
-            order.append((path, way > 0))
+            order.append((f"__sort_{len(order)}", way > 0))
+            copies[order[-1][0]] = c.col
     ctx = ctx.sorted(order)
-    return (df.orderBy(*keys) if keys and not ctx.carry else df), ctx
+    # copies of the keys outlive projections, so that the order is known to later groups
+    return (df.orderBy(*keys) if keys and not ctx.carry and not df.isStreaming else df).withColumns(copies), ctx
 
 
 def ordering(df: DataFrame, ctx: Context) -> list[Column]:
@@ -222,7 +225,8 @@ def sample(df: DataFrame, spec, ctx: Context):
         raise ValidationError("MISSING_ARGUMENT", "$sample needs size")
     n = _whole(spec["size"], "$sample", 1)
     if ctx.carry:
-        return _within(df.withColumn("__dice", F.rand()), ctx.sorted([("__dice", True)]), lambda p: p <= n).drop("__dice"), ctx.unsorted()
+        dealt = df.withColumn("__sort_dice", F.rand())
+        return _within(dealt, ctx.sorted([("__sort_dice", True)]), lambda p: p <= n).drop("__sort_dice"), ctx.unsorted()
     return df.orderBy(F.rand()).limit(n), ctx.unsorted()
 
 
@@ -260,8 +264,8 @@ def redact(df: DataFrame, spec, ctx: Context):
         below = _descended(doc, s, lambda v: judged(v, s.inside(v)))
         return doc.then(lambda d, v, b: F.when(v == "$$KEEP", d).when(v == "$$DESCEND", b), verdict, below, kind=doc.type)
 
-    out = df.select(judged(s.root(), s).col.alias("__doc"), *ctx.kept()).where("__doc is not null")
-    return out.select("__doc.*", *ctx.kept()), ctx
+    out = df.select(judged(s.root(), s).col.alias("__doc"), *beside(df)).where("__doc is not null")
+    return out.select("__doc.*", *beside(df)), ctx
 
 
 def _descended(doc: Value, s: Scope, judge) -> Value:
@@ -286,7 +290,8 @@ def union_with(df: DataFrame, spec, ctx: Context):
     if ctx.carry:
         raise ValidationError("NOT_HERE", "$unionWith can't stand in the pipeline of a $lookup")
     other, _ = ctx.run(ctx.catalog.get(spec["coll"]), spec.get("pipeline", []), ctx.unsorted())
-    a, b = df.drop("__raw"), other.drop("__raw").toDF(*other.drop("__raw").columns)
+    a, b = bare(df), bare(other)
+    b = b.toDF(*b.columns)
     both = set(a.columns) & set(b.columns)
     sa, sb = Scope(a), Scope(b)
     for n in both:  # unlike types meet as text

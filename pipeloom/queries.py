@@ -103,7 +103,7 @@ define("project_include", "part", [{"$project": {"_id": 0, "p_partkey": 1, "p_br
 define("project_exclude", "part", [{"$project": {"p_name": 0, "p_retailprice": 0}}], "SELECT p_partkey, p_brand, p_type, p_size FROM part")
 define("project_rename", "part", [{"$project": {"_id": 0, "key": "$p_partkey", "size": "$p_size"}}], "SELECT p_partkey AS key, p_size AS size FROM part")
 define("project_nested", "customer", [{"$project": {"_id": 0, "c_custkey": 1, "who.name": "$c_name", "who.seg": "$c_mktsegment"}}, {"$project": {"c_custkey": 1, "seg": "$who.seg"}}], "SELECT c_custkey, c_mktsegment AS seg FROM customer")
-define("add_fields", "lineitem", [{"$addFields": {"net": {"$round": [{"$multiply": ["$l_extendedprice", {"$subtract": [1, "$l_discount"]}]}, 2]}}}, {"$project": {"_id": 0, "l_orderkey": 1, "l_linenumber": 1, "net": 1}}], "SELECT l_orderkey, l_linenumber, round_even(l_extendedprice * (1 - l_discount), 2) AS net FROM lineitem")
+define("add_fields", "lineitem", [{"$addFields": {"net": {"$multiply": ["$l_extendedprice", {"$subtract": [1, "$l_discount"]}]}}}, {"$project": {"_id": 0, "l_orderkey": 1, "l_linenumber": 1, "net": 1}}], "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem")
 define("set_alias", "customer", [{"$set": {"rich": {"$gt": ["$c_acctbal", 5000]}}}, {"$project": {"_id": 0, "c_custkey": 1, "rich": 1}}], "SELECT c_custkey, c_acctbal > 5000 AS rich FROM customer")
 define("unset", "customer", [{"$unset": ["c_name", "c_acctbal"]}], "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer")
 define("sort_limit", "orders", [{"$sort": {"o_totalprice": -1, "o_orderkey": 1}}, {"$limit": 10}, {"$project": {"_id": 0, "o_orderkey": 1, "o_totalprice": 1}}], "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
@@ -189,7 +189,7 @@ _window("sum_partition", {"$sum": "$o_totalprice"}, "round(sum(o_totalprice) OVE
 _window("sum_default_frame", {"$sum": "$o_totalprice"}, "round(sum(o_totalprice) OVER (PARTITION BY o_custkey), 2)", sort=_K, rounded=True)
 _window("sum_running", {"$sum": "$o_custkey", "window": {"documents": ["unbounded", "current"]}}, f"(sum(o_custkey) {_OVER} ROWS UNBOUNDED PRECEDING))::BIGINT", sort=_K)
 _window("sum_rest", {"$sum": "$o_orderkey", "window": {"documents": ["current", "unbounded"]}}, f"(sum(o_orderkey) {_OVER} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT", sort=_K)
-_window("avg_moving", {"$avg": "$o_totalprice", "window": {"documents": [-1, 1]}}, f"round(avg(o_totalprice) {_OVER} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 2)", sort=_K, rounded=True)
+_window("avg_moving", {"$avg": "$o_orderkey", "window": {"documents": [-1, 1]}}, f"round(avg(o_orderkey) {_OVER} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 2)", sort=_K, rounded=True)
 _window("min_range", {"$min": "$o_totalprice", "window": {"range": [-100, 100]}}, f"min(o_totalprice) {_OVER} RANGE BETWEEN 100 PRECEDING AND 100 FOLLOWING)", sort=_K)
 _window("max_range_days", {"$max": "$o_totalprice", "window": {"range": [-90, 0], "unit": "day"}}, "max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL 90 DAYS PRECEDING AND CURRENT ROW)", sort={"o_orderdate": 1})
 _window("count", {"$count": {}}, "count(*) OVER (PARTITION BY o_custkey)", sort=_K)
@@ -312,7 +312,7 @@ _part("index_of_array", {"$indexOfArray": [_W, {"$last": _W}]}, f"(list_position
 _part("index_of_array_from", {"$indexOfArray": [["a", "b", "a", "$p_brand"], "a", 1]}, "2::INT")
 _part("set_union", {"$setUnion": [_W, ["zz", "aa"]]}, f"list_sort(list_distinct(list_concat({_L}, ['zz', 'aa'])))")
 _part("set_intersection", {"$setIntersection": [_W, ["widget", "bolt", "gear"]]}, f"list_sort(list_intersect(list_distinct({_L}), ['widget', 'bolt', 'gear']))")
-_part("set_difference", {"$setDifference": [_W, ["widget"]]}, f"list_filter(list_distinct({_L}), lambda w: w <> 'widget')")
+_part("set_difference", {"$setDifference": [_W, ["widget"]]}, f"list_sort(list_filter(list_distinct({_L}), lambda w: w <> 'widget'))")
 _part("set_equals", {"$setEquals": [[1, 2, "$p_size"], ["$p_size", 2, 1, 1]]}, "true")
 _part("set_is_subset", {"$setIsSubset": [["widget"], _W]}, f"list_contains({_L}, 'widget')")
 _part("any_element_true", {"$anyElementTrue": [[False, {"$gt": ["$p_size", 10]}]]}, "p_size > 10")

@@ -25,9 +25,11 @@ def _target(spec, name: str) -> str:
 
 def out(df: DataFrame, spec, ctx):
     """Replaces the collection by the rows. The rows are written before the old table goes, since they may come from it."""
+    from ..operators.context import bare
+
     name = _target(spec, "$out")
     spark = df.sparkSession
-    _replace(spark, df.drop("__raw", *ctx.carry), name)
+    _replace(spark, bare(df), name)
     frame = spark.table(name)
     ctx.catalog.frames.pop(name, None)
     return frame.limit(0), ctx.unsorted()
@@ -47,6 +49,8 @@ MATCHED, NOT_MATCHED = ("merge", "replace", "keepExisting", "fail"), ("insert",
 
 def merge(df: DataFrame, spec, ctx):
     """Merges the rows into the collection by the fields `on`: one full outer join, written anew."""
+    from ..operators.context import bare
+
     spec = {"into": spec} if isinstance(spec, str) else spec
     if not isinstance(spec, dict) or "into" not in spec:
         raise ValidationError("MISSING_ARGUMENT", "$merge needs into")
@@ -56,7 +60,7 @@ def merge(df: DataFrame, spec, ctx):
     matched, new = spec.get("whenMatched", "merge"), spec.get("whenNotMatched", "insert")
     if matched not in MATCHED or new not in NOT_MATCHED:
         raise ValidationError("BAD_MODE", f"$merge doesn't know {matched!r} with {new!r}")
-    spark, df = df.sparkSession, df.drop("__raw", *ctx.carry)
+    spark, df = df.sparkSession, bare(df)
     known = name in ctx.catalog.frames or spark.catalog.tableExists(name)
     if not known:
         if new == "fail" and df.limit(1).count():
