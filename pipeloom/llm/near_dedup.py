@@ -5,11 +5,14 @@ shingles (with fewer words, the whole sequence as one; without words, empty and
 buckets keeps the smallest hash of the set under its own permutation, compressed to the count of leading zeros and ten
 bits of mantissa. Texts of equal sets are one class. Bands of six registers put classes together; a pair is tried only if
 the estimate from the registers, corrected for chance collisions, comes near the threshold, and linked only if the whole
-sets, made again from the texts, reach it. (A pair at exactly 0.75 shares no band with a probability of 8e-5; at 0.8, 4e-7.)
+sets, made again from the texts, reach it. (A pair at exactly 0.75 shares no band with a probability of 8e-5; at 0.8, 5e-7.)
 
-Within a band's group no list of all pairs is made: all members are tried against one, the member that shares most groups;
-members that this leaves in other components are tried against others in further rounds, as long as their pairs outnumber
-the rows; what is then left is tried pair by pair. Components are found by alternating large and small stars over tables.
+Within a band's group no list of all pairs is made: all members are tried against one, the member that shares most groups.
+Groups that this doesn't make one component are tried further: pair by pair between components where those pairs are few
+against the rows; where they are many (texts that share a long passage, say), by the exact rule that two sets
+of 75% overlap share one of the rarest shingles of both, the first n - ceil(0.75 n) + 1 of n by how many of these sets have it,
+and that enough of both sets is left from there on.
+Components are found by alternating large and small stars over tables.
 
 Rows of one id are taken as linked. A row without id gets no component and isn't kept. An empty table gives no rows.
 """
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import IS_SPACE, cut, flat, kept_table, tune
@@ -150,28 +153,59 @@ def with_registers(rows: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets overlap by percent or more. whole: id, sketch, n_shingles, body."""
-    left = whole.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a"), F.col("n_shingles").alias("n_a"), F.col("body").alias("body_a"))
-    right = whole.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b"), F.col("n_shingles").alias("n_b"), F.col("body").alias("body_b"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
+    """The pairs (a, b) whose sets overlap by percent or more: registers are compared first, texts only of pairs that come near.
+    whole: id, n_shingles, sketch, body."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_a, n_b = (np.array(batch.column(c).to_pylist(), float) for c in ("n_a", "n_b"))
-            of = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("sketch_a", "sketch_b")]
-            near = np.flatnonzero(estimate(*of, n_a, n_b) >= percent / 100 - MARGIN)
-            if not len(near):
-                continue
-            few = batch.take(pa.array(near))
+    def both(rows: DataFrame, *columns: str) -> DataFrame:
+        for side in ("a", "b"):
+            rows = rows.join(whole.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+        return rows
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n_a, n_b = (np.array(b.column(c).to_pylist(), float) for c in ("n_shingles_a", "n_shingles_b"))
+            of = [np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("sketch_a", "sketch_b")]
+            yield b.select(["a", "b"]).filter(pa.array(estimate(*of, n_a, n_b) >= percent / 100 - MARGIN))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             hit = []
-            for i in range(0, len(near), 32):
-                part = few.slice(i, 32)
+            for i in range(0, b.num_rows, 32):
+                part = b.slice(i, 32)
                 for x, y in zip(shingles(*flat(part.column("body_a"))), shingles(*flat(part.column("body_b"))), strict=True):
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     hit.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_pydict({"a": few.column("a"), "b": few.column("b")}).filter(pa.array(hit, pa.bool_()))
+            yield b.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    tried = both(pairs.select("a", "b"), "n_shingles", "sketch").where(100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
+    hopeful = cut(tried.select("a", "b", "n_shingles_a", "n_shingles_b", "sketch_a", "sketch_b").mapInArrow(near, "a long, b long"))
+    return both(hopeful, "body").select("a", "b", "body_a", "body_b").mapInArrow(exact, "a long, b long")
+
 
-    return both.select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b", "body_a", "body_b").mapInArrow(run, "a long, b long")
+def rare_pairs(whole: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of members (rep, c) of unlike c that share a rare shingle; every pair with percent of overlap is among them."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                found = shingles(*flat(part.column(2)))
+                n = np.array([len(x) for x in found], np.int64)
+                rep, c = (np.repeat(np.array(part.column(k).to_pylist(), np.int64), n) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(c), pa.array(np.repeat(n, n)), pa.array(np.concatenate(found).view(np.int64))], names=["rep", "c", "n", "s"])
+
+    rows = members.join(whole.select(F.col("id").alias("rep"), "body"), "rep").select("rep", "c", "body").mapInArrow(spread, "rep long, c long, n long, s long")
+    common = rows.groupBy("s").agg(F.count("*").alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s", "df")
+    # shingles that only one component has are the rarest; they take up places at the front and make no pairs
+    met = rows.join(common, "s").select("rep", "c", "n", "s", "df")
+    own = F.col("n") - F.count("*").over(Window.partitionBy("rep"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "s"))
+    front = cut(met.withColumn("place", own + place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("rep", "c", "n", "s", (F.col("n") - F.col("place") + 1).alias("rest")))
+    other = front.select(F.col("rep").alias("x"), F.col("c").alias("c_x"), F.col("n").alias("n_x"), "s", F.col("rest").alias("rest_x"))
+    # from the first common shingle on, no more than the rest of either can be common
+    enough = (100 + percent) * F.least("rest", "rest_x") >= percent * (F.col("n") + F.col("n_x"))
+    fit = (F.col("rep") < F.col("x")) & (F.col("c") != F.col("c_x")) & (100 * F.least("n", "n_x") >= percent * F.greatest("n", "n_x")) & enough
+    return front.withColumnRenamed("s", "s_f").join(other, (F.col("s_f") == F.col("s")) & fit).select(F.col("rep").alias("a"), F.col("x").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -192,8 +226,9 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, rounds: int = 6) -> DataFrame:
-    """key, n_shingles, component_id (the smallest key reachable over links), kept (key = component_id); a row for each row."""
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, crowded: float = 2.0) -> DataFrame:
+    """key, n_shingles, component_id (the smallest key reachable over links), kept (key = component_id); a row for each row.
+    crowded: open pairs for each row of a group from which on they are found by rare shingles."""
     tune(docs.sparkSession)
     spark = docs.sparkSession
     all_rows = cut(sets(docs, key, text))
@@ -201,47 +236,36 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     hashed = banded(docs.where(F.col(key).isNotNull()), text)
     shared = hashed.groupBy("band").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("band")
     named = classes.select("rep", mark_of("digest").alias("mark"))
-    found = cut(hashed.join(shared, "band").distinct())
-    members = found.join(named, "mark").select("band", "rep")
+    found = hashed.join(shared, "band").distinct()
+    members = cut(found.join(named, "mark").select("band", "rep"))
     sizes = members.groupBy("band").agg(F.count("*").alias("n"))
-    members = cut(members.join(sizes, "band").select("band", "rep", "n"))
-    busy = cut(members.groupBy("rep").agg(F.sum("n").alias("weight")))
+    busy = cut(members.join(sizes, "band").groupBy("rep").agg(F.sum("n").alias("weight")))
     ids = busy.select(F.col("rep").alias("id"))
     if busy.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     whole = kept_table(with_registers(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body")).join(ids, "id").select("id", "body")))
-    members = members.join(busy, "rep")
-    tried = spark.createDataFrame([], "a long, b long")
-    links = tried
-    root = spark.createDataFrame([], "id long, root long")
-    for n in range(rounds + 1):
-        placed = members.join(root.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("root", "rep")) if n else members.withColumn("c", F.col("rep"))
-        if n:
-            # of each group the component with the heaviest member stays out; the others' members are the stragglers
-            top = placed.groupBy("band").agg(F.max(F.struct("weight", F.col("c").alias("main"))).alias("t"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("band", "t.main", "size")
-            placed = cut(placed.join(top, "band").select("band", "rep", "c", "weight", "main", "size"))
-            open_pairs = placed.where("c <> main").agg(F.sum("size").alias("p")).first()["p"] or 0
-            if not open_pairs:
-                break
-            if open_pairs <= 4 * placed.count() or n == rounds:
-                few = placed.where("c <> main").select("band", F.col("rep").alias("x"), F.col("c").alias("c_x"))
-                new = placed.join(few, "band").where((F.col("c") != F.col("c_x")) & ((F.col("c") == F.col("main")) | (F.col("rep") < F.col("x")))).select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b"))
-                last = True
-            else:
-                hub = placed.where("c <> main").groupBy("band").agg(F.max(F.struct("weight", (-F.col("rep")).alias("x"), "c")).alias("t")).select("band", (-F.col("t.x")).alias("hub"), F.col("t.c").alias("c_hub"))
-                new = placed.join(hub, "band").where("c <> c_hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-                last = False
+    placed = members.join(busy, "rep").select("band", "rep", "weight")
+    hub = placed.groupBy("band").agg(F.max(F.struct("weight", (-F.col("rep")).alias("x"))).alias("t")).select("band", (-F.col("t.x")).alias("hub"))
+    tried = cut(placed.join(hub, "band").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct())
+    links = cut(verified(tried, whole, percent))
+    root = components(links)
+
+    placed = placed.join(root.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", "weight", F.coalesce("root", "rep").alias("c"))
+    # in each group the component of the heaviest member stays out; the others' members are the stragglers
+    top = placed.groupBy("band").agg(F.max(F.struct("weight", F.col("c").alias("main"))).alias("t"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"))
+    placed = cut(placed.join(top.where("lo <> hi").select("band", "t.main", "size"), "band").select("band", "rep", "c", "main", "size"))
+    state = placed.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.when(F.col("c") != F.col("main"), F.col("size"))), F.lit(0)).alias("open")).first()
+    if state["open"]:
+        if state["open"] <= crowded * state["rows"]:
+            few = placed.where("c <> main").select("band", F.col("rep").alias("x"), F.col("c").alias("c_x"))
+            met = placed.join(few, "band").where((F.col("c") != F.col("c_x")) & ((F.col("c") == F.col("main")) | (F.col("rep") < F.col("x"))))
+            new = met.select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b"))
         else:
-            hub = placed.groupBy("band").agg(F.max(F.struct("weight", (-F.col("rep")).alias("x"))).alias("t")).select("band", (-F.col("t.x")).alias("hub"))
-            new = placed.join(hub, "band").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-            last = False
-        new = new.distinct().join(tried, ["a", "b"], "left_anti") if n else new.distinct()
-        new = cut(new)
-        tried = tried.union(new)
-        links = links.union(cut(verified(new, whole, percent)))
-        root = components(links)
-        if last:
-            break
+            new = rare_pairs(whole, placed.select("rep", "c").distinct(), percent)
+        new = cut(new.distinct().join(tried, ["a", "b"], "left_anti"))
+        more = cut(verified(new, whole, percent))
+        if not more.isEmpty():
+            root = components(links.union(more))
     same = classes.select("digest", "rep").join(root.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
     out = all_rows.select("id", "n_shingles", "digest").join(same, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("root"))).otherwise(F.col("id"))
