@@ -24,8 +24,11 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
     return Engine(spark, _Lazy(spark, sf_dir))
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
 class _Lazy(Catalog):
-    """The tables of a folder, opened when they are asked for."""
+    """The tables of a folder, opened when they are asked for. The tables don't change, so their schemas are read once."""
 
     def __init__(self, spark: SparkSession, path: str):
         super().__init__(spark)
@@ -33,7 +36,10 @@ class _Lazy(Catalog):
 
     def get(self, name: str) -> DataFrame:
         if name not in self.frames and name in TABLES:
-            self.register(name, self.spark.read.parquet(f"{self.path}/{name}.parquet"))
+            path = f"{self.path}/{name}.parquet"
+            if path not in _SCHEMAS:
+                _SCHEMAS[path] = self.spark.read.parquet(path).schema
+            self.register(name, self.spark.read.schema(_SCHEMAS[path]).parquet(path))
         return super().get(name)
 
 
