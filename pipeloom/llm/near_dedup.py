@@ -99,6 +99,8 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 #: Up to this number of ids (8 bytes each) are broadcast to pick texts; more are shuffled.
 BROADCAST_IDS = 1_000_000
+#: Up to this number of rows of two or three numbers are broadcast; more are shuffled.
+BROADCAST_ROWS = 250_000
 
 
 def sets(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -154,12 +156,16 @@ def with_registers(rows: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets overlap by percent or more: registers are compared first, texts only of pairs that come near.
-    whole: id, n_shingles, sketch, body."""
+    pairs: cut, distinct. whole: id, n_shingles, sketch, body."""
+    limit = min(BROADCAST_ROWS, whole.count())
 
     def both(rows: DataFrame, *columns: str) -> DataFrame:
-        for side in ("a", "b"):
-            rows = rows.join(whole.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
-        return rows
+        """The pairs with these columns of either side. Few pairs are brought to the columns and then to each other; the rest of
+        whole stays where it is. Of many pairs, both sides are shuffled."""
+        a, b = (whole.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in ("a", "b"))
+        if rows.count() <= limit:
+            return a.join(F.broadcast(rows), "a").join(b.join(F.broadcast(rows), "b"), ["a", "b"])
+        return rows.join(a, "a").join(b, "b")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,7 +200,9 @@ def rare_pairs(whole: DataFrame, members: DataFrame, percent: int) -> DataFrame:
                 rep, c = (np.repeat(np.array(part.column(k).to_pylist(), np.int64), n) for k in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(c), pa.array(np.repeat(n, n)), pa.array(np.concatenate(found).view(np.int64))], names=["rep", "c", "n", "s"])
 
-    rows = members.join(whole.select(F.col("id").alias("rep"), "body"), "rep").select("rep", "c", "body").mapInArrow(spread, "rep long, c long, n long, s long")
+    members = cut(members)
+    known = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
+    rows = whole.select(F.col("id").alias("rep"), "body").join(known, "rep").select("rep", "c", "body").mapInArrow(spread, "rep long, c long, n long, s long")
     common = rows.groupBy("s").agg(F.count("*").alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s", "df")
     # shingles that only one component has are the rarest; they take up places at the front and make no pairs
     met = rows.join(common, "s").select("rep", "c", "n", "s", "df")
