@@ -1,6 +1,7 @@
 """Lexical retrieval packing.
 
-Documents are dealt by a hash of their id into shards of about SHARD_TOKENS tokens. Each shard keeps an inverted index of
+Documents are dealt by their content into shards of about SHARD_TOKENS tokens, so that like documents meet however many
+shards there are (see topics.py); a cell of like documents that fills several shards is dealt over them by a hash. Each shard keeps an inverted index of
 its documents' token ids with BM25 weights, whose document frequencies and mean length are those of the whole corpus. A
 window of `size` tokens begins with a seed document; the seed is the query, and its best unused neighbours fill the window one
 after another. The document that doesn't fit is cut there; its rest begins the next window, as its seed. If no neighbour is left,
@@ -19,9 +20,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import topics
 from .common import flat, kept_table, tune
 from .vocab import ChunkMemory, take_runs, word_level
 
@@ -54,17 +57,55 @@ def distinct_cells(of: np.ndarray, ids: np.ndarray, width: int) -> tuple[np.ndar
     return found // width, found % width, np.diff(np.append(first, len(cells)))
 
 
-def token_table(docs: DataFrame, path: str, end_id: int, key: str, text: str) -> DataFrame:
-    """id, ids (little-endian unsigned 16-bit integers) of each document, written once and read again."""
+def saturated(tf: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
+    """BM25's weight of a term without its idf."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
+def inverse_frequency(df: np.ndarray, n: int) -> np.ndarray:
+    return np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+
+
+def vectors(ids: np.ndarray, each: np.ndarray, idf: np.ndarray, mean: float) -> np.ndarray:
+    doc, term, tf = distinct_cells(np.repeat(np.arange(len(each)), each), ids.astype(np.int64), len(idf))
+    return topics.sums(doc, term, (idf[term] * saturated(tf, each[doc], mean)).astype(np.float32), len(each))
+
+
+def token_table(docs: DataFrame, path: str, end_id: int, key: str, text: str, tree: Broadcast | None = None) -> DataFrame:
+    """id, ids (little-endian unsigned 16-bit integers), n (how many) and cell (of the tree) of each document, written once and
+    read again."""
     tune(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, each = tokenised(*flat(b.column(1)), path, end_id)
             raw, ends = ids.astype("<u2").tobytes(), np.concatenate([[0], np.cumsum(each)]).tolist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([raw[2 * s : 2 * e] for s, e in zip(ends, ends[1:])], pa.binary())], names=["id", "ids"])
+            cell = tree.value.cells(vectors(ids, each, tree.value.idf, tree.value.mean)) if tree else np.zeros(len(each), np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([raw[2 * s : 2 * e] for s, e in zip(ends, ends[1:])], pa.binary()), pa.array(each.astype(np.int64)), pa.array(cell)], names=["id", "ids", "n", "cell"])
+
+    return kept_table(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body")).mapInArrow(encode, "id long, ids binary, n long, cell long"))
+
+
+def content_tree(docs: DataFrame, path: str, end_id: int, key: str, text: str, vocabulary: int, shard_tokens: int) -> topics.Tree:
+    """The tree of centres, with about a leaf for each shard, from a sample of the documents. Gathers topics.EACH vectors (of DIM bytes) a shard."""
+    total = docs.count()
+    rows = lambda share: docs.where(F.pmod(F.xxhash64(key, text, F.lit(9)), F.lit(1 << 24)) < int(share * (1 << 24)) + 1) if share < 1 else docs
+    _, n, tokens = corpus_statistics(first := token_table(rows(topics.LEAST / max(1, total)), path, end_id, key, text), vocabulary)
+    mean = max(1.0, tokens / max(1, n))
+    leaves = max(1, round(total * mean / shard_tokens))
+    wanted = topics.EACH * leaves
+    sample = token_table(rows(wanted / total), path, end_id, key, text) if min(wanted, total) > topics.LEAST else first
+    df, n, tokens = corpus_statistics(sample, vocabulary)
+    idf, mean = inverse_frequency(df, n), max(1.0, tokens / max(1, n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, at = flat(b.column(0))
+            x = topics.whole(vectors(data.view("<u2"), np.diff(at) // 2, idf, mean)).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], names=["x"])
 
-    return kept_table(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body")).mapInArrow(encode, "id long, ids binary"))
+    found = [bytes(r["x"]) for r in sample.select("ids").mapInArrow(run, "x binary").collect()]
+    return topics.Tree.grow(np.frombuffer(b"".join(found), np.int8).reshape(-1, topics.DIM).astype(np.float32), leaves, idf, mean)
 
 
 def corpus_statistics(tokens: DataFrame, vocabulary: int) -> tuple[np.ndarray, int, int]:
@@ -96,7 +137,7 @@ def fill_windows(ids: np.ndarray, each: np.ndarray, idf: np.ndarray, mean: float
     of = np.repeat(np.arange(n), each)
     width = len(idf)
     doc, term, tf = distinct_cells(of, ids, width)
-    weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * each[doc] / mean))).astype(np.float32)
+    weight = (idf[term] * saturated(tf, each[doc], mean)).astype(np.float32)
     terms_at = np.searchsorted(doc, np.arange(n + 1))
     by_term = np.argsort(term, kind="stable")  # the postings of each term, documents ascending
     sorted_term = term[by_term]
@@ -171,12 +212,17 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", si
     """A row for each piece: key, start (ids of its document before it), length, ids (little-endian unsigned 32-bit
     integers), doc_tokens, sequence_id, offset (in its sequence)."""
     assert vocabulary <= 1 << 16
-    table = token_table(docs, path, end_id, key, text)
+    spark = docs.sparkSession
+    tune(spark)
+    tree = spark.sparkContext.broadcast(content_tree(docs, path, end_id, key, text, vocabulary, shard_tokens))  # DIM numbers for each shard
+    table = token_table(docs, path, end_id, key, text, tree)
     df, n, tokens = corpus_statistics(table, vocabulary)
-    idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
-    mean, shards = max(1.0, tokens / max(1, n)), max(1, round(tokens / shard_tokens))
-    shared = docs.sparkSession.sparkContext.broadcast(idf)  # a number for each id of the vocabulary
-    dealt = table.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(shards)))
+    idf, mean = inverse_frequency(df, n), max(1.0, tokens / max(1, n))
+    shared = spark.sparkContext.broadcast(idf)  # a number for each id of the vocabulary
+    # a shard is full by tokens or by rows; some cells for each shard are gathered and broadcast
+    load = {r["cell"]: (r["tokens"] + r["n"] * mean) / 2 / shard_tokens for r in table.groupBy("cell").agg(F.sum("n").alias("tokens"), F.count("*").alias("n")).collect()}
+    places = spark.createDataFrame(topics.deal(load), "cell long, first long, parts long")
+    dealt = table.join(F.broadcast(places), "cell").select("id", "ids", (F.col("first") + F.pmod(F.xxhash64("id", "ids", F.lit(5)), F.col("parts"))).alias("shard"))
 
     def one(group: pa.Table) -> pa.Table:
         group = group.take(pa.compute.sort_indices(group, [("id", "ascending"), ("ids", "ascending")]))

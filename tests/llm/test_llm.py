@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pipeloom.llm import bpe, exact_dedup, fingerprints, language_id, near_dedup, packing, quality, queries, token_counts, training_order, url_filter
+from pipeloom.llm import bpe, exact_dedup, fingerprints, language_id, near_dedup, packing, quality, queries, token_counts, topics, training_order, url_filter
 from pipeloom.llm.vocab import byte_level, default_path, library, word_level
 
 SF = "/root/testdata/sf0.001"
@@ -246,6 +246,26 @@ def test_packing_puts_like_documents_together():
     assert [p[0] for p in pieces] == [0, 2, 1, 3]
 
 
+def test_packing_deals_like_documents_to_one_shard(spark):
+    rng = random.Random(8)
+    said = lambda: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(60)]
+    rows = []
+    for i in range(300):
+        words = said()
+        rows += [(i, " ".join(words)), (10_000 + i, " ".join(words[:20] + said()[:6] + words[26:]))]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), default_path("word_bpe_49k.json"), size=512, shard_tokens=5000).collect()
+    shards = {}
+    for r in got:
+        shards.setdefault(r["doc_id"], set()).add(r["sequence_id"] >> 32)
+    assert len(set().union(*shards.values())) >= 10 and all(len(s) == 1 for s in shards.values())
+    assert sum(shards[i] == shards[10_000 + i] for i in range(300)) >= 240
+
+
+def test_packing_splits_hot_cells():
+    got = {c: (first, parts) for c, first, parts in topics.deal({0: 0.3, 1: 0.3, 16: 7.2, 17: 0.4, 32: 0.2})}
+    assert got[0] == got[1] == (0, 1) and got[16] == (1, 7) and got[17][0] == got[32][0] == 8
+
+
 def test_exact_dedup(docs, empty):
     rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
     plain = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t)
