@@ -3,8 +3,8 @@
 A text's words (runs other than white space, at most 16 characters; single characters of scripts without spaces) are
 hashed. Of each K words in a row, the K-S+1 inner runs of S words are hashed too; the K words are chosen if the smallest of
 those stands at either edge. The choice depends on the K words alone, so equal passages have the same anchors
-wherever they stand, and anchors keep their places for positional matching. A fingerprint is the set of the smallest
-KEPT anchor hashes, in ascending order. In texts of fewer than FEW words, and in those without a chosen run, single words are
+wherever they stand, and anchors keep their places for positional matching. A fingerprint holds all anchors with their places,
+in the order of the text: about two for each three words. In texts of fewer than FEW words, and in those without a chosen run, single words are
 anchors too. Null and empty texts, and texts without words, have the empty fingerprint; it is like itself (1) and unlike others (0).
 """
 
@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words of a run, words of an inner run, anchors of a fingerprint.
-K, S, KEPT = 3, 1, 128
+#: Words of a run, words of an inner run.
+K, S = 3, 1
 #: Texts of fewer words have their words as anchors too.
 FEW = 16
 _ALONE = r"⺀-鿿가-힯฀-๿"
@@ -45,20 +45,20 @@ def anchors(text: Column) -> Column:
     return _let(F.transform(words, lambda w: F.xxhash64(w)), of)
 
 
-def fingerprint(text: Column, kept: int = KEPT) -> Column:
-    """The smallest distinct anchor hashes (their lower 32 bits) as 8 hex digits each, ascending, with dots between."""
-    hashes = F.transform(anchors(text), lambda a: F.lower(F.lpad(F.hex(a["hash"].bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")))
-    return F.array_join(F.slice(F.array_sort(F.array_distinct(hashes)), 1, kept), ".")
+def fingerprint(text: Column) -> Column:
+    """All anchors of a text: array of (place, hash), in the order of their places."""
+    return F.array_sort(anchors(text))
 
 
-def likeness(a: Column, b: Column, kept: int = KEPT) -> Column:
-    """From 0 to 1: twice the common share of both texts' anchors (Dice), estimated from two fingerprints."""
+def likeness(a: Column, b: Column) -> Column:
+    """From 0 to 1: twice the number of anchor hashes that both fingerprints have, by the sum of their numbers (Dice)."""
 
     def near(x: Column, y: Column) -> Column:
-        both = F.slice(F.array_sort(F.array_union(x, y)), 1, kept)
-        return _let(both, lambda u: _let(F.size(F.array_intersect(F.array_intersect(u, x), y)) / F.size(u), lambda j: 2 * j / (1 + j)))
+        return F.size(F.array_intersect(x, y)) * 2 / (F.size(x) + F.size(y))
 
-    return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(near(F.split(a, r"\."), F.split(b, r"\.")))
+    hashes = lambda f: F.array_distinct(f["hash"])
+    both = _let(F.struct(hashes(a).alias("x"), hashes(b).alias("y")), lambda p: near(p["x"], p["y"]))
+    return F.when(a == b, F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both)
 
 
 def ranges(docs: DataFrame, key: str, group: int, most: int) -> tuple[Column, Column]:
@@ -78,7 +78,7 @@ def ranges(docs: DataFrame, key: str, group: int, most: int) -> tuple[Column, Co
     return (at * fine + F.floor((value - low[at]) * fine / wide[at])).cast("long"), value
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", kept: int = KEPT, group: int = 512, most: int = 50_000) -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", group: int = 512, most: int = 50_000) -> DataFrame:
     """key, body (the text, null as empty), fingerprint, next_body and next_fingerprint (those of the row with the next
     larger key, null keys first; after the last row the first; equal keys in a fixed order), a row for each row of docs.
 
@@ -92,7 +92,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", kept:
     twice = F.array_compact(F.array(F.struct(F.col("range").alias("r"), F.lit(0).alias("copy")), F.when(F.col("value") == F.col("first"), F.struct(F.col("before").alias("r"), F.lit(1).alias("copy")))))
     placed = keyed.join(F.broadcast(before), "range").select(key, "body", "value", F.explode(twice).alias("e")).select(key, "body", "value", "e.*")
     sort = ["copy", "value", "tie"]
-    ready = placed.withColumn("tie", F.xxhash64("body")).repartition("r").sortWithinPartitions("r", *sort).withColumn("fingerprint", fingerprint(F.col("body"), kept))
+    ready = placed.withColumn("tie", F.xxhash64("body")).repartition("r").sortWithinPartitions("r", *sort).withColumn("fingerprint", fingerprint(F.col("body")))
     follow = Window.partitionBy("r").orderBy(*sort)
     out = ready.withColumns({"next_body": F.lead("body").over(follow), "next_fingerprint": F.lead("fingerprint").over(follow)})
     return out.where("copy = 0").select(key, "body", "fingerprint", "next_body", "next_fingerprint")

@@ -215,6 +215,23 @@ def test_fingerprints(spark, docs, empty):
     assert places == [i for i in range(len(h) - 2) if min(s[i], s[i + 2]) <= s[i + 1]]
 
 
+def test_fingerprints_of_long_texts_are_whole(spark):
+    rng = random.Random(4)
+    said = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    base, other = said(20_000), said(20_000)
+    rows = [("base", base), ("edited", base[:9000] + said(12) + base[9012:]), ("passage", other[:5000] + base[100:150] + other[5050:])]
+    fp = fingerprints.fingerprint
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "k string, t string").select("k", fp(F.col("t")).alias("f"), fingerprints.anchors(F.col("t")).alias("all"))
+    got = {r["k"]: r for r in df.collect()}
+    assert all([tuple(a) for a in r["f"]] == sorted(tuple(a) for a in r["all"]) for r in got.values())
+    sets = {k: {a["hash"] for a in r["all"]} for k, r in got.items()}
+    first = df.where("k = 'base'").select(F.col("f").alias("g"))
+    near = {r["k"]: r["x"] for r in df.crossJoin(first).select("k", fingerprints.likeness(F.col("f"), F.col("g")).alias("x")).collect()}
+    for k, own in sets.items():
+        assert near[k] == pytest.approx(2 * len(own & sets["base"]) / (len(own) + len(sets["base"])), abs=1e-12)
+    assert near["base"] == 1 and 0.99 < near["edited"] < 1 and 0 < near["passage"] < 0.01
+
+
 def test_packing(docs, empty):
     path = default_path("word_bpe_49k.json")
     for shard in (10**6, 2000):
