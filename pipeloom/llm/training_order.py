@@ -7,7 +7,7 @@ is the sequence's slot. Slots are dealt by range to shards of `slots` records, s
 
 A shard is a folder `shard=<n>` that holds one file of records of equal length: document id (8 bytes), number of the
 sequence within its document (4), ids in use (4), `size` ids (2 bytes each, little-endian, padded with zeros), and an end mark.
-So slot i begins at (i mod slots) * stride of shard i div slots, and reading goes on from any slot. Shards are written by
+So slot i begins at (i mod slots) * stride of shard i div slots, and reading goes on from any slot: earlier shards aren't read, and the records before it in its own are passed over. Shards are written by
 Spark's committer through any storage that Spark writes to, all or none of a task's; a run into a folder that already has shards writes only those
 that are missing or short.
 
@@ -158,8 +158,9 @@ def present(spark: SparkSession, folder: str, size: int, slots: int, total: int)
     return np.array(sorted(found), np.int64)
 
 
-def read_shards(spark: SparkSession, folder: str, size: int = 256, slots: int = 32_768) -> DataFrame:
-    """slot, doc_id, part, n_tokens, ids (little-endian unsigned 16-bit integers, without padding) from written shards."""
+def read_shards(spark: SparkSession, folder: str, size: int = 256, slots: int = 32_768, start: int = 0) -> DataFrame:
+    """slot, doc_id, part, n_tokens, ids (little-endian unsigned 16-bit integers, without padding) from written shards, from slot
+    start on. Files of shards before it are left out; its own shard is loaded as one file and read from the record on."""
     width = stride(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +169,7 @@ def read_shards(spark: SparkSession, folder: str, size: int = 256, slots: int =
                 raw = np.frombuffer(content.as_buffer(), np.uint8)
                 if len(raw) % width:
                     raise ValueError(f"shard {shard} is cut off")
-                for i in range(0, len(raw) // width, 4096):
+                for i in range(max(0, start - shard * slots), len(raw) // width, 4096):
                     part = raw.reshape(-1, width)[i : i + 4096]
                     head = np.ascontiguousarray(part[:, :HEAD]).view([("id", "<i8"), ("part", "<i4"), ("n", "<i4")]).ravel()
                     ids = [bytes(x[HEAD : HEAD + 2 * n]) for x, n in zip(part, head["n"].tolist(), strict=True)]
@@ -176,4 +177,4 @@ def read_shards(spark: SparkSession, folder: str, size: int = 256, slots: int =
                     yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(head["id"].copy()), pa.array(head["part"].copy()), pa.array(head["n"].copy()), pa.array(ids, pa.binary())], names=["slot", "doc_id", "part", "n_tokens", "ids"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("basePath", folder).load(folder)
-    return files.select(F.col("shard").cast("long").alias("shard"), "content").mapInArrow(run, "slot long, doc_id long, part int, n_tokens int, ids binary")
+    return files.where(F.col("shard") >= start // slots).select(F.col("shard").cast("long").alias("shard"), "content").mapInArrow(run, "slot long, doc_id long, part int, n_tokens int, ids binary")

@@ -191,6 +191,17 @@ def test_token_counts(docs, empty):
     assert token_counts.count_tokens(empty, path).count() == 0
 
 
+def test_training_order_reads_on_from_any_slot(spark, docs, tmp_path):
+    folder, path = str(tmp_path / "on"), default_path("byte_bpe_50k.json")
+    n = training_order.materialise(docs, folder, path, size=16, slots=50)
+    every = sorted(map(tuple, training_order.read_shards(spark, folder, 16, 50).collect()))
+    assert n > 150
+    for start in (0, 1, 49, 50, 77, 100, n - 1, n):
+        assert sorted(map(tuple, training_order.read_shards(spark, folder, 16, 50, start).collect())) == every[start:]
+    os.remove(next((tmp_path / "on" / "shard=0").glob("part-*")))
+    assert training_order.read_shards(spark, folder, 16, 50, 77).count() == n - 77  # the first shard isn't needed
+
+
 def test_fingerprints(spark, docs, empty):
     rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     got = {r["doc_id"]: r for r in fingerprints.fingerprints(rows, group=4).collect()}
