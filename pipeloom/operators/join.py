@@ -30,20 +30,22 @@ def lookup(df: DataFrame, spec, ctx: Context):
     segments(name)
     right = ctx.catalog.get(spec["from"]).drop("__raw")
     local, foreign = ctx.scope(df).field(spec["localField"]), Scope(right).field(spec["foreignField"])
-    many = isinstance(local.type, T.ArrayType) or isinstance(foreign.type, T.ArrayType)
-    rows = right.select(foreign.col.alias("__f"), _document(right).alias("__d"))
+    by_element = isinstance(local.type, T.ArrayType)
+    own = [F.monotonically_increasing_id().alias("__id")] if by_element else []
+    rows = right.select(foreign.col.alias("__f"), _document(right).alias("__d"), *own)
+    own = ["__id"] if by_element else []
     if isinstance(foreign.type, T.ArrayType):
-        rows = rows.select(F.explode(F.array_distinct(F.when(F.size("__f") > 0, F.col("__f")).otherwise(F.array(F.lit(None))))).alias("__f"), "__d")
+        rows = rows.select(F.explode(F.array_distinct(F.when(F.size("__f") > 0, F.col("__f")).otherwise(F.array(F.lit(None))))).alias("__f"), "__d", *own)
     match_type = foreign.type.elementType if isinstance(foreign.type, T.ArrayType) else foreign.type
     local_type = local.type.elementType if isinstance(local.type, T.ArrayType) else local.type
     unlike = rank(local_type) != rank(match_type) and -1 not in (rank(local_type), rank(match_type))
     if unlike:
-        rows = rows.limit(0).select(F.lit(None).cast(local_type).alias("__f"), "__d")
+        rows = rows.limit(0).select(F.lit(None).cast(local_type).alias("__f"), "__d", *own)
     left = df.withColumn("__l", local.col)
-    if many and isinstance(local.type, T.ArrayType):
-        # the elements of a row's array are looked up one by one, and its matches gathered again
+    if by_element:
+        # the elements of a row's array are looked up one by one, and its matches gathered again, each foreign row once
         left = left.withColumn("__row", F.monotonically_increasing_id())
-        pairs = left.select("__row", F.explode(F.array_distinct("__l")).alias("__l")).join(rows, F.col("__l").eqNullSafe(F.col("__f"))).groupBy("__row").agg(F.collect_set("__d").alias(name))
+        pairs = left.select("__row", F.explode(F.array_distinct("__l")).alias("__l")).join(rows, F.col("__l").eqNullSafe(F.col("__f"))).dropDuplicates(["__row", "__id"]).groupBy("__row").agg(F.collect_list("__d").alias(name))
         return left.join(pairs, "__row", "left").withColumn(name, F.coalesce(name, F.array().cast(pairs.schema[name].dataType))).drop("__row", "__l"), ctx
     on = F.col("__l").eqNullSafe(F.col("__f"))
     keep = [F.col(quoted(c)) for c in df.columns if c != name]

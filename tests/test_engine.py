@@ -107,6 +107,16 @@ def test_graph_lookup_levels_and_cycles(engine):
     assert [b["_id"] for b in got[0]["below"]] == [2]
 
 
+def test_lookup_by_array_keeps_repeated_rows(spark):
+    catalog = Catalog(spark)
+    catalog.register("l", spark.createDataFrame([(1, ["x", "y"]), (2, ["z"])], "_id int, k array<string>"))
+    catalog.register("f", spark.createDataFrame([("x", 1), ("x", 1), ("y", 2)], "k string, v int"))
+    catalog.register("g", spark.createDataFrame([(["x", "y"], 1), (["x", "y"], 1), (["q"], 2)], "k array<string>, v int"))
+    for other, want in (("f", [1, 1, 2]), ("g", [1, 1])):
+        got = rows(Engine(spark, catalog), "l", {"$lookup": {"from": other, "localField": "k", "foreignField": "k", "as": "m"}})
+        assert {r["_id"]: sorted(m["v"] for m in r["m"]) for r in got} == {1: want, 2: []}
+
+
 def test_lookup_of_arrays_and_nulls(engine):
     got = rows(engine, "staff", {"$lookup": {"from": "staff", "localField": "boss", "foreignField": "_id", "as": "b"}}, {"$project": {"n": {"$size": "$b"}}})
     assert {r["_id"]: r["n"] for r in got} == {1: 0, 2: 1, 3: 1, 4: 1}
