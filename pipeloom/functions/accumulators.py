@@ -69,10 +69,30 @@ def accumulator(name: str, spec, s: Scope, order: Order | None = None, ranked: C
     if op == "$addToSet":
         return F.sort_array(F.collect_set(v.col))
     if op == "$mergeObjects":
-        return F.last(v.col, ignorenulls=True) if key is None else F.max_by(v.col, key)
+        return _merged(x, v, s, key, up)
     raise UnsupportedOperatorError(op)
 
 
+def _merged(x, v: Value, s: Scope, key: Column | None, up: bool) -> Column:
+    """The merge of all documents, field by field: of each the value in the last document that has it. Where the raw documents
+    are known, a null that is there is a value; else null counts as absent."""
+    from .predicates import exists
+
+    if is_null(v.type):
+        return F.last(v.col)
+    if not isinstance(v.type, T.StructType):
+        raise UnsupportedOperatorError("$mergeObjects of values that aren't documents of known fields")
+    raw = isinstance(x, str) and x.startswith("$") and not x.startswith("$$") and "__raw" in s.frame.columns and not s.document
+    out = []
+    for n in v.type.fieldNames():
+        value = v.col.getField(n)
+        there = exists(f"{x[1:]}.{n}", s) if raw else value.isNotNull()
+        boxed = F.when(there, F.struct(value.alias("x")))  # a null in a box is not left out
+        pick = F.last(boxed, ignorenulls=True) if key is None else (F.max_by if up else F.min_by)(boxed, F.when(there, key))
+        out.append(pick["x"].alias(n))
+    return F.struct(*out)
+
+
 def needs_order(spec) -> bool:
     return isinstance(spec, dict) and any(k in spec for k in ("$first", "$last", "$push", "$mergeObjects"))
 

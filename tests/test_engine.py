@@ -117,6 +117,22 @@ def test_lookup_by_array_keeps_repeated_rows(spark):
         assert {r["_id"]: sorted(m["v"] for m in r["m"]) for r in got} == {1: want, 2: []}
 
 
+def test_group_merges_the_fields_of_all_documents(spark, tmp_path):
+    docs = [{"g": 1, "n": 1, "d": {"a": 1, "b": 2}}, {"g": 1, "n": 2, "d": {"b": 3, "e": {"x": 1}}}, {"g": 1, "n": 3, "d": None}, {"g": 1, "n": 4, "d": {"c": 4, "e": None}}]
+    (tmp_path / "m.json").write_text("\n".join(map(json.dumps, docs)))
+    catalog = Catalog(spark)
+    catalog.load("m", str(tmp_path / "m.json"), "documents")
+    catalog.register("t", spark.read.json(str(tmp_path / "m.json")))
+    merge = {"$group": {"_id": "$g", "o": {"$mergeObjects": "$d"}}}
+    for coll, up, want in (("m", 1, (1, 3, 4, None)), ("m", -1, (1, 2, 4, {"x": 1})), ("t", 1, (1, 3, 4, {"x": 1})), ("t", -1, (1, 2, 4, {"x": 1}))):
+        (r,) = rows(Engine(spark, catalog), coll, {"$sort": {"n": up}}, merge)
+        assert tuple(r["o"][k] for k in "abce") == want
+    (r,) = rows(Engine(spark, catalog), "t", merge)
+    assert r["o"]["a"] == 1 and r["o"]["c"] == 4
+    with pytest.raises(UnsupportedOperatorError):
+        rows(Engine(spark, catalog), "t", {"$group": {"_id": "$g", "o": {"$mergeObjects": "$n"}}})
+
+
 def test_lookup_of_arrays_and_nulls(engine):
     got = rows(engine, "staff", {"$lookup": {"from": "staff", "localField": "boss", "foreignField": "_id", "as": "b"}}, {"$project": {"n": {"$size": "$b"}}})
     assert {r["_id"]: r["n"] for r in got} == {1: 0, 2: 1, 3: 1, 4: 1}
