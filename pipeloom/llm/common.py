@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import re
 import shutil
 import tempfile
 import uuid
@@ -11,6 +10,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,15 +32,19 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new folder under spark.checkpoint.dir. Where that is unset, a temporary one, but only where driver and executors are one
+    process (tests); elsewhere that is an error, since executors don't see each other's folders."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = sc._jsc.sc().getCheckpointDir()
         base = base.get() if base.isDefined() else None
     if not base:
+        if not sc._jsc.sc().isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="checkpoints-")
         atexit.register(shutil.rmtree, base, True)
-        spark.sparkContext.setCheckpointDir(base)
+        sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -50,7 +54,7 @@ def cut(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         folder = shared_dir(spark)
         if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(folder.rsplit("/", 1)[0])
+            spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
@@ -86,13 +90,20 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]] if len(at) else whole, at - at[0] if len(at) else np.zeros(1, np.int64)
 
 
-def texts_of(column) -> list[str]:
-    return [t or "" for t in column.to_pylist()]
+def whole_key(docs: DataFrame, key: str):
+    """The key as long. Keys are whole numbers; others are an error before anything runs."""
+    kind = docs.schema[key].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"{key} is {kind.simpleString()}; a whole number is needed")
+    return F.col(key).cast("long")
 
 
-def batch(schema: T.StructType | pa.Schema, columns: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(columns, schema=schema)
+def fresh(name: str, taken) -> str:
+    """The name, with underscores after it while it is taken."""
+    while name in taken:
+        name += "_"
+    return name
 
 
-#: (regular expression of Java, for a text that holds a letter)
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter, of any script.
+LETTER = regex.compile(r"\p{L}")

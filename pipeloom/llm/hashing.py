@@ -7,17 +7,19 @@ import numpy as np
 U = np.uint64
 _random = np.random.default_rng(20240229)
 _BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
-_STEP = 0x9E3779B97F4A7C15 | 1
-_powers = np.ones(1, np.uint64)
+_BLOCK = 1 << 12
+_factors = np.zeros(0, np.uint64)
 
 
-def powers(n: int) -> np.ndarray:
-    """The first n (or more) powers of an odd constant, modulo 2**64."""
-    global _powers
-    while len(_powers) < n:
-        last = pow(_STEP, len(_powers), 1 << 64)
-        _powers = np.concatenate([_powers, _powers * U(last)])
-    return _powers
+def factors(n: int) -> np.ndarray:
+    """The first n (or more) of an endless row of independent random odd numbers, drawn block by block."""
+    global _factors
+    while len(_factors) < n:
+        more = max(1, len(_factors) // _BLOCK)  # doubles
+        first = len(_factors) // _BLOCK
+        drawn = [np.random.default_rng([20240229, first + k]).integers(1, 1 << 63, _BLOCK, dtype=np.uint64) | U(1) for k in range(more)]
+        _factors = np.concatenate([_factors, *drawn])
+    return _factors
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -33,7 +35,9 @@ def mix(h: np.ndarray) -> np.ndarray:
 def hash_runs(data: np.ndarray, start: np.ndarray, stop: np.ndarray, slab: int = 1 << 20) -> np.ndarray:
     """A 64-bit hash of each data[start:stop]; runs are in order, don't overlap and aren't empty.
 
-    Two different runs get equal hashes with a probability of about 2**-64. Works through about `slab` bytes at a time."""
+    Multilinear: each place has a factor of its own, drawn at random and not as powers of one number, so runs built to collide
+    under powers don't. Two different runs that were chosen without looking at the factors get equal hashes with a probability
+    below 2**-55. Works through about `slab` bytes at a time."""
     out = np.empty(len(start), np.uint64)
     if not len(start):
         return out
@@ -47,7 +51,7 @@ def hash_runs(data: np.ndarray, start: np.ndarray, stop: np.ndarray, slab: int =
         first = np.cumsum(m) - m
         inside = np.arange(int(m.sum())) - np.repeat(first, m)
         at = inside + np.repeat(start[k:e], m)
-        v = _BYTE[data[at]] * powers(int(m.max()))[inside]
+        v = _BYTE[data[at]] * factors(int(m.max()))[inside]
         out[k:e] = np.add.reduceat(v, first)
         k = e
     return mix(out + n.astype(np.uint64) * U(0xC2B2AE3D27D4EB4F))

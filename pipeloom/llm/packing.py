@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import topics
-from .common import flat, kept_table, tune
+from .common import flat, kept_table, tune, whole_key
 from .vocab import ChunkMemory, take_runs, word_level
 
 #: Tokens of a shard, about; a shard is handled in one task.
@@ -41,7 +41,7 @@ def _memory(path: str) -> ChunkMemory:
 
 def tokenised(data: np.ndarray, at: np.ndarray, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, each followed by end_id, end to end, and how many each text has."""
-    ids, each, _ = _memory(path).runs(data, at)
+    ids, each, _, _ = _memory(path).runs(data, at)
     out = np.full(len(ids) + len(each), end_id, np.uint32)
     out[np.arange(len(ids)) + np.repeat(np.arange(len(each)), each)] = ids
     return out, each + 1
@@ -83,7 +83,7 @@ def token_table(docs: DataFrame, path: str, end_id: int, key: str, text: str, tr
             cell = tree.value.cells(vectors(ids, each, tree.value.idf, tree.value.mean)) if tree else np.zeros(len(each), np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([raw[2 * s : 2 * e] for s, e in zip(ends, ends[1:])], pa.binary()), pa.array(each.astype(np.int64)), pa.array(cell)], names=["id", "ids", "n", "cell"])
 
-    return kept_table(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body")).mapInArrow(encode, "id long, ids binary, n long, cell long"))
+    return kept_table(docs.select(whole_key(docs, key).alias("id"), F.col(text).alias("body")).mapInArrow(encode, "id long, ids binary, n long, cell long"))
 
 
 def content_tree(docs: DataFrame, path: str, end_id: int, key: str, text: str, vocabulary: int, shard_tokens: int) -> topics.Tree:

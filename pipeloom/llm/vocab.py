@@ -13,12 +13,13 @@ import numpy as np
 import regex
 
 from .common import IS_SPACE
-from .hashing import HashTable, hash_runs
+from .hashing import HashTable, hash_runs, mix
 
 #: The pattern that splits text before byte-level merges (fixed values of the public vocabulary).
 PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: The same for Python, whose \s takes U+001C to U+001F in while the vocabulary's doesn't.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE = regex.compile(f"[{_WHITE}]+")
 SPLIT = regex.compile(PATTERN.pattern.replace(r"[^\s", f"[^{_WHITE}").replace(r"\S", f"[^{_WHITE}]").replace(r"\s", f"[{_WHITE}]"))
 
 
@@ -39,31 +40,43 @@ def library(path: str):
     return t
 
 
-def chunks(data: np.ndarray, at: np.ndarray, spaced: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Kinds of ASCII bytes: letters, white space, other printable characters but the apostrophe and digits; 0 for all else.
+_LETTER, _WHITE_BYTE, _MARK, _OTHER = 1, 2, 3, 4
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = _MARK
+_KIND[0x30:0x3A] = _KIND[0x27] = _OTHER
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _LETTER
+_KIND[IS_SPACE] = _WHITE_BYTE
+
+
+def chunks(data: np.ndarray, at: np.ndarray, spaced: bool, marks: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cuts texts (bytes, with the beginning of each) where their encoding can be cut: start and stop of each chunk, and
-    how many chunks each text has.
+    how many chunks each text has. Both sides of a cut are ASCII.
 
-    spaced: cuts before each space that stands between two characters that are not white space. No piece of the
-    byte-level pattern spans such a place and no look-ahead depends on it. Characters that may be white space beyond
-    ASCII (those that begin with E1, E2, E3, or are C2 85 and C2 A0) count as such here. Else: cuts at every space, and drops it.
+    spaced: cuts before white space that follows another character, after a single white space other than \\x20 between two
+    such characters, and (marks) between letters and marks. No piece of the byte-level pattern spans such a place, and what its look-ahead sees
+    there is the same at a text's end. Else: cuts at white space, and drops it, and (marks) between letters and marks. Marks must be
+    off where special strings occur.
     """
     n = len(data)
-    space = np.flatnonzero(data == 0x20)
     border = np.zeros(n + 1, bool)
     border[at] = True
+    if n > 1:
+        kind = _KIND[data]
+        left, right = kind[:-1], kind[1:]
+        if marks:
+            border[1:n] |= (left == _LETTER) & (right == _MARK) | (left == _MARK) & (right == _LETTER)
+        if spaced:
+            seen = (left != 0) & (left != _WHITE_BYTE)
+            border[1:n] |= seen & (right == _WHITE_BYTE)
+            if n > 2:
+                alone = seen[:-1] & (left[1:] == _WHITE_BYTE) & (data[1:-1] != 0x20) & (right[1:] != 0) & (right[1:] != _WHITE_BYTE)
+                border[2:n] |= alone
     if spaced:
-        inner = space[(space > 0) & (space + 1 < n)]
-        before, after = data[inner - 1], data[inner + 1]
-        ok = ~IS_SPACE[before] & ~IS_SPACE[after] & ~((after >= 0xE1) & (after <= 0xE3)) & (after != 0xC2)
-        third = data[np.maximum(inner - 3, 0)]
-        ok &= ~((before >= 0x80) & (third >= 0xE1) & (third <= 0xE3)) & ~((data[np.maximum(inner - 2, 0)] == 0xC2) & ((before == 0x85) | (before == 0xA0)))
-        ok &= ~border[inner] & ~border[inner + 1]  # the text's own first and last character
-        border[inner[ok]] = True
         start = np.flatnonzero(border[:-1])
         stop = np.append(start[1:], n)
     else:
-        keep = np.ones(n + 1, bool)
-        keep[space] = keep[n] = False
+        keep = np.append(~IS_SPACE[data], False)
         start = np.flatnonzero(keep[:-1] & (border[:-1] | ~np.concatenate([[False], keep[: n - 1]])))
         stop = np.flatnonzero(keep[:-1] & (border[1:] | ~keep[1:])) + 1
     return start, stop, np.diff(np.searchsorted(start, at))
@@ -73,11 +86,11 @@ class ChunkMemory:
     """Remembers a run of numbers for each distinct chunk of text: `learn` gets the new chunks' bytes and returns their runs.
 
     Chunks are known by 64-bit hashes. The memory is bounded: it is emptied once it holds `most` chunks; chunks of
-    over 256 bytes stay out and are learnt each time.
+    over 256 bytes stay out and are learnt each time. specials: strings that chunks must not cut.
     """
 
-    def __init__(self, learn, spaced: bool, most: int = 1_500_000):
-        self.learn, self.spaced, self.most = learn, spaced, most
+    def __init__(self, learn, spaced: bool, specials: list[bytes], most: int = 1_500_000):
+        self.learn, self.spaced, self.specials, self.most = learn, spaced, specials, most
         self._empty()
 
     def _empty(self) -> None:
@@ -95,15 +108,14 @@ class ChunkMemory:
         self.starts[self.n + 1 : self.n + 1 + len(m)] = ends
         self.n += len(m)
 
-    def runs(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For texts (bytes, with the beginning of each): all runs end to end, how long each text's are together, and the
-        length of each chunk's run."""
+    def _found(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All runs that are known; where in them each chunk's begins and ends; how many chunks each text has; the chunks' hashes."""
         if self.table.n > self.most:
             self._empty()
-        start, stop, each = chunks(data, at, self.spaced)
+        whole = data.tobytes()
+        start, stop, each = chunks(data, at, self.spaced, not any(s in whole for s in self.specials))
         keys = hash_runs(data, start, stop)
         where = self.table.find(keys)
-        whole = data.tobytes()
         new = np.flatnonzero((where < 0) & (stop - start <= 256))
         if len(new):
             _, first = np.unique(keys[new], return_index=True)
@@ -119,31 +131,69 @@ class ChunkMemory:
             flat = np.concatenate([flat[: starts[self.n]], *more])
             starts = np.concatenate([starts[: self.n + 1], starts[self.n] + np.cumsum([len(x) for x in more])])
             where[long] = self.n + np.arange(len(long))
-        lengths = starts[where + 1] - starts[where]
-        total = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(each)])]
-        return take_runs(flat, starts[where], starts[where + 1]), np.diff(total), lengths
+        return flat, starts[where], starts[where + 1], each, keys
+
+    def runs(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For texts (bytes, with the beginning of each): all runs end to end, how long each text's are together, the
+        length of each chunk's run, and how many chunks each text has."""
+        flat, start, stop, each, _ = self._found(data, at)
+        return take_runs(flat, start, stop), _by_text(stop - start, each), stop - start, each
+
+    def sizes(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How long the runs of each text are together, without putting them together, and a 64-bit sum of each text's content."""
+        _, start, stop, each, keys = self._found(data, at)
+        return _by_text(stop - start, each), _content(keys, each)
+
+    def runs_and_sums(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All runs end to end; what sizes() gives."""
+        flat, start, stop, each, keys = self._found(data, at)
+        return take_runs(flat, start, stop), _by_text(stop - start, each), _content(keys, each)
+
+
+def _content(keys: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """A number for each text that its chunks and their order decide."""
+    place = np.arange(len(keys)) - np.repeat(np.cumsum(each) - each, each)
+    return _by_text(mix(keys + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), each)
+
+
+def _by_text(x: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """The sums of each[0], each[1], ... numbers of x."""
+    ends = np.concatenate([[0], np.cumsum(each)])
+    total = np.concatenate([np.zeros(1, x.dtype), np.cumsum(x, dtype=x.dtype)])
+    return total[ends[1:]] - total[ends[:-1]]
 
 
 def byte_level(path: str, ranks: str | None = None) -> ChunkMemory:
     """Ids of a byte-level vocabulary. ranks: the same vocabulary as a file of ranks, for speed."""
     full = library(path)
-    quick = _ranked(ranks) if ranks else None
     specials = [s.encode() for s in merges_special(path)]
+    if ranks:
+        merge, table, pieces = _ranked(ranks)
+
+    def plain(p: bytes) -> list[int]:
+        if p.isalpha() or p[:1] == b" " and p[1:].isalpha():  # one piece of the pattern
+            known = table.get(p)
+            return merge(p) if known is None else [known]
+        return pieces(p.decode())
 
     def learn(parts: list[bytes]) -> list[list[int]]:
-        if quick is None:
+        if not ranks:
             return [e.ids for e in full.encode_batch([p.decode() for p in parts], add_special_tokens=False)]
-        return [full.encode(p.decode(), add_special_tokens=False).ids if any(s in p for s in specials) else quick(p.decode()) for p in parts]
+        if not any(s in b"\0".join(parts) for s in specials):
+            return list(map(plain, parts))
+        return [full.encode(p.decode(), add_special_tokens=False).ids if any(s in p for s in specials) else plain(p) for p in parts]
 
-    return ChunkMemory(learn, True)
+    return ChunkMemory(learn, True, specials)
 
 
 def _ranked(path: str):
+    """The merges of one piece, the ids of whole pieces, and the encoding of any text."""
     import tiktoken
 
     with open(path, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(path, pat_str=PATTERN.pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+    made = tiktoken.Encoding(path, pat_str=PATTERN.pattern, mergeable_ranks=table, special_tokens={})
+    return made._core_bpe.encode_single_piece, table, made.encode_ordinary
 
 
 def merges_special(path: str) -> dict[str, int]:
@@ -186,27 +236,24 @@ def word_level(path: str) -> ChunkMemory:
             own[as_bytes(word)] = len(ids)
             ids.append(vocab[word])
     merge = tiktoken.Encoding(path, pat_str=".", mergeable_ranks=own, special_tokens={})._core_bpe.encode_single_piece
-    known: dict[str, list[int]] = {}
 
-    def word_ids(word: str) -> list[int]:
-        got = known.get(word)
-        if got is None:
-            if len(known) > 200_000:
-                known.clear()
-            got = known[word] = [ids[r] for r in merge(word.encode() + b"\xff")]
-        return got
+    def word_ids(word: bytes) -> list[int]:
+        return [ids[r] for r in merge(word + b"\xff")]
 
     def learn(parts: list[bytes]) -> list[list[int]]:
         out = []
         for p in parts:
+            if p.isalpha():  # one word
+                out.append(word_ids(p.lower()))
+                continue
             text = p.decode()
-            if PLAIN.match(text) and "<|" not in text or text == "\n":
-                out.append([i for w in WORDS.findall(text.lower()) for i in word_ids(w)])
+            if PLAIN.match(text) and "<|" not in text:
+                out.append([i for w in WORDS.findall(text.lower()) for i in word_ids(w.encode())])
             else:
                 out.append(full.encode(text, add_special_tokens=False).ids)
         return out
 
-    return ChunkMemory(learn, False)
+    return ChunkMemory(learn, False, [s.encode() for s in merges_special(path)])
 
 
 def take_runs(flat: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
