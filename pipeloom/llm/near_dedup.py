@@ -4,17 +4,20 @@ A text's words are the runs of other bytes between \\x20 and \\x09-\\x0D, A-Z lo
 shingles (with fewer words, the whole sequence as one; without words, empty and linked with nothing). Each of 288
 buckets keeps the smallest hash of the set under its own permutation, compressed to the count of leading zeros and ten
 bits of mantissa. Texts of equal sets are one class. Bands of six registers put classes together; a pair is tried only if
-the estimate from the registers, corrected for chance collisions, comes near the threshold, and linked only if the whole
-sets, made again from the texts, reach it. (A pair at exactly 0.75 shares no band with a probability of 8e-5; at 0.8, 5e-7.)
+the estimate from the registers, corrected for chance collisions, comes near the threshold, and linked only if the sets of
+words themselves, made again from the two whole texts, reach it. (A pair at exactly 0.75 shares no band with a probability of 8e-5; at 0.8,
+5e-7. Shingles are known by 64-bit hashes until that last comparison, so classes and sizes rest on them.)
 
 Within a band's group no list of all pairs is made: all members are tried against one, the member that shares most groups.
 Groups that this doesn't make one component are tried further: pair by pair between components where those pairs are few
 against the rows; where they are many (texts that share a long passage, say), by the exact rule that two sets
 of 75% overlap share one of the rarest shingles of both, the first n - ceil(0.75 n) + 1 of n by how many of these sets have it,
-and that enough of both sets is left from there on.
-Components are found by alternating large and small stars over tables.
+and that enough of both sets is left from there on. Both ways find every pair that shares a band and isn't connected yet.
+To be tried, members travel to blocks of about 64 that share one hub; the hub's sketch or text travels once for each block.
+Components are found by alternating large and small stars over tables; what heavy nodes need is broadcast.
 
-Rows of one id are taken as linked. A row without id gets no component and isn't kept. An empty table gives no rows.
+Keys are whole numbers. Rows of one id are taken as linked. A row without id gets no component and isn't kept. Only key and text are read,
+so other columns' names don't matter. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, cut, flat, kept_table, tune
+from .common import IS_SPACE, cut, flat, kept_table, tune, whole_key
 from .hashing import U, hash_runs, mix
 
 #: Words of a shingle; registers, and registers of a band; bits of a register's mantissa.
@@ -101,46 +104,42 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 BROADCAST_IDS = 1_000_000
 #: Up to this number of rows of two or three numbers are broadcast; more are shuffled.
 BROADCAST_ROWS = 250_000
-
-
-def sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, n_shingles, digest (of the set) of each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = shingles(*flat(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([digest(s) for s in found], pa.binary())], names=["id", "n_shingles", "digest"])
-
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text)).mapInArrow(run, "id long, n_shingles long, digest binary")
-
-
-def mark_of(column: str):
-    """The first eight bytes of a digest, least first, as a signed number."""
-    high_first = F.concat(*[F.hex(F.substring(column, i, 1)) for i in range(8, 0, -1)])
-    return F.conv(high_first, 16, -10).cast("long")
+#: A key with more rows than this, and than 1/HEAVY_PART of all rows, is heavy; there are HEAVY_PART of them at most.
+HEAVY, HEAVY_PART = 256, 10_000
+#: Members of a block, about.
+BLOCK = 64
 
 
 def digest(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
-def banded(docs: DataFrame, text: str) -> DataFrame:
-    """band, mark (the first bytes of the set's digest as a number): a row for each band of each text that has a set."""
+def sketches(rows: DataFrame) -> DataFrame:
+    """id, n_shingles, digest (of the set), mark (its first bytes as a number), bands, of rows (id, body). Bands are empty without a set or an id, and where
+    an earlier row of the task has an equal set."""
+    salt = mix(np.arange(1, REGISTERS // BAND + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = mix(np.arange(1, REGISTERS // BAND + 1, dtype=np.uint64))
+        seen: set[int] = set()  # a number for each set of the task
         for b in batches:
-            found = [s for s in shingles(*flat(b.column(0))) if len(s)]
-            if not found:
-                continue
-            r = np.stack([registers(s) for s in found]).reshape(len(found), -1, BAND).astype(np.uint64)
-            h = np.zeros(r.shape[:2], np.uint64) + salt
-            for i in range(BAND):
-                h = mix(h ^ (r[:, :, i] + U(i + 1)) * U(0x9E3779B97F4A7C15))
-            mark = np.array([int.from_bytes(digest(s)[:8], "little", signed=True) for s in found], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(mark, h.shape[1]))], names=["band", "mark"])
-
-    return docs.select(text).mapInArrow(run, "band long, mark long")
+            ids, digests, marks, bands = b.column(0).to_pylist(), [], [], []
+            found = shingles(*flat(b.column(1)))
+            for i, s in zip(ids, found, strict=True):
+                digests.append(d := digest(s))
+                marks.append(m := int.from_bytes(d[:8], "little", signed=True))
+                if i is None or not len(s) or m in seen:
+                    bands.append([])
+                    continue
+                seen.add(m)
+                r = registers(s).reshape(-1, BAND).astype(np.uint64)
+                h = salt.copy()
+                for k in range(BAND):
+                    h = mix(h ^ (r[:, k] + U(k + 1)) * U(0x9E3779B97F4A7C15))
+                bands.append(h.view(np.int64))
+            n = pa.array([len(s) for s in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array(digests, pa.binary()), pa.array(marks, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n_shingles", "digest", "mark", "bands"])
+
+    return rows.mapInArrow(run, "id long, n_shingles long, digest binary, mark long, bands array<long>")
 
 
 def with_registers(rows: DataFrame) -> DataFrame:
@@ -154,42 +153,82 @@ def with_registers(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id long, n_shingles long, sketch binary, body string")
 
 
-def verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets overlap by percent or more: registers are compared first, texts only of pairs that come near.
-    pairs: cut, distinct. whole: id, n_shingles, sketch, body."""
-    limit = min(BROADCAST_ROWS, whole.count())
+def with_group(rows: DataFrame, key: str, *aggregates) -> DataFrame:
+    """rows (cut before) with aggregates over their key's rows. No key's rows are gathered: aggregates are made by parts, those of
+    heavy keys are broadcast (HEAVY_PART rows at most), the others joined."""
+    per = cut(rows.groupBy(key).agg(F.count("*").alias("__n"), *aggregates))
+    state = per.agg(F.count("*").alias("keys"), F.sum("__n").alias("rows")).first()
+    if state["keys"] <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(per.drop("__n")), key)
+    most = max(HEAVY, state["rows"] // HEAVY_PART)
+    heavy = F.broadcast(per.where(F.col("__n") > most).drop("__n"))
+    some = rows.join(heavy, key)
+    rest = rows.join(heavy.select(key), key, "left_anti").join(per.where(F.col("__n") <= most).drop("__n"), key)
+    return some.unionByName(rest)
 
-    def both(rows: DataFrame, *columns: str) -> DataFrame:
-        """The pairs with these columns of either side. Few pairs are brought to the columns and then to each other; the rest of
-        whole stays where it is. Of many pairs, both sides are shuffled."""
-        a, b = (whole.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in ("a", "b"))
-        if rows.count() <= limit:
-            return a.join(F.broadcast(rows), "a").join(b.join(F.broadcast(rows), "b"), ["a", "b"])
-        return rows.join(a, "a").join(b, "b")
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n_a, n_b = (np.array(b.column(c).to_pylist(), float) for c in ("n_shingles_a", "n_shingles_b"))
-            of = [np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("sketch_a", "sketch_b")]
-            yield b.select(["a", "b"]).filter(pa.array(estimate(*of, n_a, n_b) >= percent / 100 - MARGIN))
+def word_shingles(body: str | None) -> set[tuple[bytes, ...]]:
+    """The set of a text by its words themselves."""
+    w = (body or "").encode().translate(_LOWER.tobytes()).split()  # splits at the same six bytes
+    return set(zip(*(w[i:] for i in range(WORDS)))) if len(w) >= WORDS else {tuple(w)} if w else set()
+
+
+def meet(pairs: DataFrame, whole: DataFrame, columns: list[str], read, fit) -> DataFrame:
+    """The pairs (a, b), a < b, of those (h, m) that fit(read(row of h), read(row of m)). pairs: cut, distinct. whole: id and the columns that read gets.
+
+    The members of a hub h are dealt over blocks; each block gets the columns of h once, and those of each member once."""
+    blocks = with_group(pairs, "h", F.count("*").alias("n")).select("h", "m", F.pmod(F.xxhash64("m"), F.ceil(F.col("n") / BLOCK)).alias("block"))
+    blocks = cut(blocks)
+    own = whole.select("id", *columns)
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sent(rows: DataFrame, by: str, role: int) -> DataFrame:
+        few = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+        return own.join(few, own["id"] == rows[by]).select("h", "block", F.lit(role).alias("role"), "id", *columns)
+
+    both = sent(cut(blocks.select("h", "block").distinct()), "h", 0).union(sent(blocks, "m", 1))
+    placed = both.repartition("h", "block").sortWithinPartitions("h", "block", "role")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, hubs = None, []
         for b in batches:
-            hit = []
-            for i in range(0, b.num_rows, 32):
-                part = b.slice(i, 32)
-                for x, y in zip(shingles(*flat(part.column("body_a"))), shingles(*flat(part.column("body_b"))), strict=True):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    hit.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield b.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+            a, c = [], []
+            h, block, role, ids = (b.column(k).to_pylist() for k in range(4))
+            rest = [x.to_pylist() for x in b.columns[4:]]
+            for i in range(b.num_rows):
+                if (h[i], block[i]) != at:
+                    at, hubs = (h[i], block[i]), []
+                mine = read(*[x[i] for x in rest])
+                if not role[i]:
+                    hubs.append(mine)
+                elif any(fit(x, mine) for x in hubs):
+                    a.append(min(h[i], ids[i]))
+                    c.append(max(h[i], ids[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
+
+    return placed.mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of those (h, m) whose sets overlap by percent or more: registers are compared first, texts only of pairs that come near.
+    pairs: cut, distinct. whole: id, n_shingles, sketch, body."""
+
+    def near(x: tuple[int, np.ndarray], y: tuple[int, np.ndarray]) -> bool:
+        (n, r), (m, q) = x, y
+        if 100 * min(n, m) < percent * max(n, m):
+            return False
+        return estimate(r[None], q[None], np.array([n], float), np.array([m], float))[0] >= percent / 100 - MARGIN
+
+    def alike(x: set, y: set) -> bool:
+        common = len(x & y)
+        return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
 
-    tried = both(pairs.select("a", "b"), "n_shingles", "sketch").where(100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
-    hopeful = cut(tried.select("a", "b", "n_shingles_a", "n_shingles_b", "sketch_a", "sketch_b").mapInArrow(near, "a long, b long"))
-    return both(hopeful, "body").select("a", "b", "body_a", "body_b").mapInArrow(exact, "a long, b long")
+    hopeful = cut(meet(pairs, whole, ["n_shingles", "sketch"], lambda n, s: (n, np.frombuffer(s, "<u2")), near).distinct())
+    oriented = cut(hopeful.join(pairs.select(F.least("h", "m").alias("a"), F.greatest("h", "m").alias("b"), "h", "m"), ["a", "b"]).groupBy("a", "b").agg(F.max("h").alias("h")).select("h", (F.col("a") + F.col("b") - F.col("h")).alias("m")))
+    return meet(oriented, whole, ["body"], word_shingles, alike)
 
 
 def rare_pairs(whole: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of members (rep, c) of unlike c that share a rare shingle; every pair with percent of overlap is among them."""
+    """The pairs (h, m) of members (rep, c) of unlike c that share a rare shingle; every pair with percent of overlap is among them."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -213,7 +252,7 @@ def rare_pairs(whole: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     # from the first common shingle on, no more than the rest of either can be common
     enough = (100 + percent) * F.least("rest", "rest_x") >= percent * (F.col("n") + F.col("n_x"))
     fit = (F.col("rep") < F.col("x")) & (F.col("c") != F.col("c_x")) & (100 * F.least("n", "n_x") >= percent * F.greatest("n", "n_x")) & enough
-    return front.withColumnRenamed("s", "s_f").join(other, (F.col("s_f") == F.col("s")) & fit).select(F.col("rep").alias("a"), F.col("x").alias("b"))
+    return front.withColumnRenamed("s", "s_f").join(other, (F.col("s_f") == F.col("s")) & fit).select(F.col("rep").alias("h"), F.col("x").alias("m"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -226,11 +265,11 @@ def components(links: DataFrame) -> DataFrame:
         if state["n"] == 0 or (state["n"], state["s"]) == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
         before = (state["n"], state["s"])
-        both = edges.select("u", "v").union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m")
-        small = large.join(low, F.col("u") == F.col("x")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v")
+        both = cut(edges.select("u", "v").union(edges.select("v", "u")))
+        least = with_group(both, "u", F.min("v").alias("m"))
+        large = cut(least.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        low = with_group(large, "u", F.min("v").alias("m"))
+        small = low.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v")
         edges = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
 
@@ -238,43 +277,41 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     """key, n_shingles, component_id (the smallest key reachable over links), kept (key = component_id); a row for each row.
     crowded: open pairs for each row of a group from which on they are found by rare shingles."""
     tune(docs.sparkSession)
-    spark = docs.sparkSession
-    all_rows = cut(sets(docs, key, text))
-    classes = cut(all_rows.where("n_shingles > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep")))
-    hashed = banded(docs.where(F.col(key).isNotNull()), text)
-    shared = hashed.groupBy("band").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("band")
-    named = classes.select("rep", mark_of("digest").alias("mark"))
-    found = hashed.join(shared, "band").distinct()
-    members = cut(found.join(named, "mark").select("band", "rep"))
-    sizes = members.groupBy("band").agg(F.count("*").alias("n"))
-    busy = cut(members.join(sizes, "band").groupBy("rep").agg(F.sum("n").alias("weight")))
+    rows = docs.select(whole_key(docs, key).alias("id"), F.col(text).alias("body"))
+    sketched = kept_table(sketches(rows))
+    classes = cut(sketched.where("n_shingles > 0 and id is not null").groupBy("digest", "mark").agg(F.min("id").alias("rep")))
+    hashed = sketched.where(F.size("bands") > 0).select(F.explode("bands").alias("band"), "mark")
+    shared = cut(hashed.groupBy("band").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("band"))
+    found = hashed.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "band").distinct()
+    members = cut(found.join(classes, "mark").select("band", "rep"))
+    busy = cut(members.groupBy("rep").agg(F.count("*").alias("weight")))
     ids = busy.select(F.col("rep").alias("id"))
     if busy.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    whole = kept_table(with_registers(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("body")).join(ids, "id").select("id", "body")))
-    placed = members.join(busy, "rep").select("band", "rep", "weight")
-    hub = placed.groupBy("band").agg(F.max(F.struct("weight", (-F.col("rep")).alias("x"))).alias("t")).select("band", (-F.col("t.x")).alias("hub"))
-    tried = cut(placed.join(hub, "band").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct())
+    whole = kept_table(with_registers(rows.join(ids, "id").select("id", "body")))
+    placed = cut(members.join(busy, "rep").select("band", "rep", "weight"))
+    hub = with_group(placed, "band", F.max(F.struct("weight", (-F.col("rep")).alias("x"))).alias("t")).withColumn("h", -F.col("t.x"))
+    tried = cut(hub.where("rep <> h").select("h", F.col("rep").alias("m")).distinct())
     links = cut(verified(tried, whole, percent))
     root = components(links)
 
-    placed = placed.join(root.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", "weight", F.coalesce("root", "rep").alias("c"))
+    placed = cut(placed.join(root.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", "weight", F.coalesce("root", "rep").alias("c")))
     # in each group the component of the heaviest member stays out; the others' members are the stragglers
-    top = placed.groupBy("band").agg(F.max(F.struct("weight", F.col("c").alias("main"))).alias("t"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"))
-    placed = cut(placed.join(top.where("lo <> hi").select("band", "t.main", "size"), "band").select("band", "rep", "c", "main", "size"))
+    top = (F.max(F.struct("weight", F.col("c").alias("main"))).alias("t"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"))
+    placed = cut(with_group(placed, "band", *top).where("lo <> hi").select("band", "rep", "c", "t.main", "size"))
     state = placed.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.when(F.col("c") != F.col("main"), F.col("size"))), F.lit(0)).alias("open")).first()
     if state["open"]:
         if state["open"] <= crowded * state["rows"]:
-            few = placed.where("c <> main").select("band", F.col("rep").alias("x"), F.col("c").alias("c_x"))
-            met = placed.join(few, "band").where((F.col("c") != F.col("c_x")) & ((F.col("c") == F.col("main")) | (F.col("rep") < F.col("x"))))
-            new = met.select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b"))
+            few = cut(placed.where("c <> main").select("band", F.col("rep").alias("x"), F.col("c").alias("c_x")))
+            new = placed.join(few, "band").where((F.col("c") != F.col("c_x")) & ((F.col("c") == F.col("main")) | (F.col("rep") < F.col("x")))).select(F.col("x").alias("h"), F.col("rep").alias("m"))
         else:
             new = rare_pairs(whole, placed.select("rep", "c").distinct(), percent)
-        new = cut(new.distinct().join(tried, ["a", "b"], "left_anti"))
+        known = tried.union(tried.select("m", "h"))
+        new = cut(new.distinct().join(known, ["h", "m"], "left_anti"))
         more = cut(verified(new, whole, percent))
         if not more.isEmpty():
             root = components(links.union(more))
     same = classes.select("digest", "rep").join(root.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
-    out = all_rows.select("id", "n_shingles", "digest").join(same, "digest", "left")
+    out = sketched.select("id", "n_shingles", "digest").join(same, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("root"))).otherwise(F.col("id"))
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
