@@ -1,11 +1,16 @@
 """Document fingerprints of closed syncmers, in DataFrame functions only.
 
-A text's words (runs other than white space, at most 16 characters; single characters of scripts without spaces) are
-hashed. Of each K words in a row, the K-S+1 inner runs of S words are hashed too; the K words are chosen if the smallest of
-those stands at either edge. The choice depends on the K words alone, so equal passages have the same anchors
-wherever they stand, and anchors keep their places for positional matching. A fingerprint holds all anchors with their places,
-in the order of the text: about two for each three words. In texts of fewer than FEW words, and in those without a chosen run, single words are
-anchors too. Null and empty texts, and texts without words, have the empty fingerprint; it is like itself (1) and unlike others (0).
+A text's units are its words (runs other than white space, of at most 16 characters); characters of scripts without spaces and of
+longer runs are units of their own, so a unit never depends on where its run began. Units are hashed. Of each K units in a row, the
+K-S+1 inner runs of S units are hashed too; the K units are chosen if the smallest of those stands at either edge. The choice depends on the K units alone,
+so equal passages have the same anchors wherever they stand. The text is framed by K-S fixed marks on both sides, which makes sure
+that every text with a unit has an anchor: of K-S neighbouring runs at least one is chosen.
+
+A fingerprint holds all anchors with their places, in the order of the text: about two for five units. Two
+fingerprints are matched by place: anchors, and the steps from each anchor to the next (both hashes and the distance of their places).
+
+Null and empty texts, and texts of white space, have the empty fingerprint; it is like itself (1) and unlike others (0). Rows with repeated
+or null keys are rows of their own. Only key and text are read, so other columns' names don't matter. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,12 +18,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words of a run, words of an inner run.
-K, S = 3, 1
-#: Texts of fewer words have their words as anchors too.
-FEW = 16
+from .common import whole_key
+
+#: Units of a run, units of an inner run.
+K, S = 6, 2
+FRAME = K - S
+#: Characters of the longest word; those of longer runs stand alone.
+LONGEST = 16
 _ALONE = r"⺀-鿿가-힯฀-๿"
-WORD = rf"[{_ALONE}]|[^\s{_ALONE}]{{1,16}}"
+_IN = rf"[^\s{_ALONE}]"
+UNIT = rf"(?<!{_IN}){_IN}{{1,{LONGEST}}}(?!{_IN})|\S"
+#: The marks before and after each text.
+_MARKS = [-(i + 1) for i in range(2 * FRAME)]
 
 
 def _let(value: Column, body) -> Column:
@@ -27,37 +38,54 @@ def _let(value: Column, body) -> Column:
 
 
 def anchors(text: Column) -> Column:
-    """The chosen runs of a text: array of (place, hash), the place being that of the first word."""
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+    """The chosen runs of a text: array of (place, hash) in the order of places. A place is that of the run's first unit (below 0 in the frame)."""
+    units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(UNIT), F.lit(0))
+    marks = [F.lit(m).cast("long") for m in _MARKS]
 
     def chosen(h: Column, inner: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(h) - K)
-        ends = lambda i: F.least(inner[i], inner[i + (K - S)])
-        middle = lambda i: F.least(*[inner[i + j] for j in range(1, K - S)]) if K - S > 2 else inner[i + 1]
-        return F.transform(F.filter(places, lambda i: ends(i) <= middle(i)), lambda i: F.struct(i.alias("place"), F.xxhash64(*[h[i + j] for j in range(K)]).alias("hash")))
+        last = K - S  # inner runs of a run, less one
+        smallest = lambda i: F.least(inner[i], inner[i + last]) <= F.least(*[inner[i + j] for j in range(1, last)])
+        places = F.filter(F.sequence(F.lit(0), F.size(h) - K), smallest)
+        return F.transform(places, lambda i: F.struct((i - FRAME).alias("place"), F.xxhash64(*[h[i + j] for j in range(K)]).alias("hash")))
 
     def of(h: Column) -> Column:
         inner = F.transform(F.sequence(F.lit(0), F.size(h) - S), lambda i: F.xxhash64(*[h[i + j] for j in range(S)]))
-        single = F.transform(h, lambda x, i: F.struct(i.alias("place"), x.alias("hash")))
-        runs = _let(inner, lambda s: _let(chosen(h, s), lambda c: F.when((F.size(c) == 0) | (F.size(h) < FEW), F.concat(c, single)).otherwise(c)))
-        return F.when(F.size(h) < K, single).otherwise(runs)
+        return _let(inner, lambda s: chosen(h, s))
 
-    return _let(F.transform(words, lambda w: F.xxhash64(w)), of)
+    framed = lambda u: F.concat(F.array(*marks[:FRAME]), F.transform(u, lambda w: F.xxhash64(w)), F.array(*marks[FRAME:]))
+    none = F.array().cast("array<struct<place:int,hash:bigint>>")
+    return _let(units, lambda u: F.when(F.size(u) == 0, none).otherwise(_let(framed(u), of)))
 
 
 def fingerprint(text: Column) -> Column:
     """All anchors of a text: array of (place, hash), in the order of their places."""
-    return F.array_sort(anchors(text))
+    return anchors(text)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """From 0 to 1: twice the number of anchor hashes that both fingerprints have, by the sum of their numbers (Dice)."""
+def as_text(f: Column) -> Column:
+    """A fingerprint as text: for each anchor its place and its hash in hexadecimal digits; empty for the empty one."""
+    return F.array_join(F.transform(f, lambda a: F.concat_ws(":", a["place"], F.hex(a["hash"]))), " ")
+
+
+def steps(f: Column) -> Column:
+    """From each anchor to the next: a hash of both anchors' hashes and the distance of their places."""
 
-    def near(x: Column, y: Column) -> Column:
-        return F.size(F.array_intersect(x, y)) * 2 / (F.size(x) + F.size(y))
+    def step(a: Column, i: Column) -> Column:
+        after = f[i + 1]
+        return F.xxhash64(a["hash"], after["hash"], after["place"] - a["place"])
 
-    hashes = lambda f: F.array_distinct(f["hash"])
-    both = _let(F.struct(hashes(a).alias("x"), hashes(b).alias("y")), lambda p: near(p["x"], p["y"]))
+    return F.when(F.size(f) > 1, F.transform(F.slice(f, 1, F.size(f) - 1), step)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _parts(f: Column) -> Column:
+    """The distinct hashes of anchors and of steps."""
+    return F.array_distinct(F.concat(f["hash"], steps(f)))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """From 0 to 1: twice the number of anchors and steps that both fingerprints have, by the sum of their numbers (Dice). Steps agree only
+    where two neighbouring anchors stand at the same distance in both."""
+    both = _let(F.struct(_parts(a).alias("x"), _parts(b).alias("y")), lambda p: F.size(F.array_intersect(p["x"], p["y"])) * 2 / (F.size(p["x"]) + F.size(p["y"])))
     return F.when(a == b, F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both)
 
 
@@ -78,12 +106,14 @@ def ranges(docs: DataFrame, key: str, group: int, most: int) -> tuple[Column, Co
     return (at * fine + F.floor((value - low[at]) * fine / wide[at])).cast("long"), value
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", group: int = 512, most: int = 50_000) -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", group: int = 512, most: int = 1_000_000) -> DataFrame:
     """key, body (the text, null as empty), fingerprint, next_body and next_fingerprint (those of the row with the next
     larger key, null keys first; after the last row the first; equal keys in a fixed order), a row for each row of docs.
 
     Rows move once, into ranges of the key; each range also gets a copy of the row that follows its last one. The table of
-    first keys, one for each range (`most` at most), is broadcast."""
+    first keys, one for each range (three numbers each, `most` at most), is broadcast. Beyond group * most rows (512 million) ranges grow; they are
+    sorted externally. Rows of one key share a range. Keys are whole numbers."""
+    whole_key(docs, key)
     number, value = ranges(docs.select(key), key, group, most)
     keyed = docs.select(F.col(key), F.coalesce(text, F.lit("")).alias("body"), number.alias("range"), value.alias("value"))
     order = Window.orderBy("range")

@@ -41,7 +41,8 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"), limit=512)
+    stored = token_counts.prefix_table(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"))
+    return token_counts.truncate(stored, 512)
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,9 +50,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("body")
     cut = F.floor(n / 4).cast("int")
     edited = docs.withColumns({"n_chars": n.cast("long"), "edited": F.concat(F.col("body").substr(F.lit(1), n - cut), F.col("next_body").substr(F.lit(1), cut))})
-    both = edited.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", fingerprints.fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
-    like = fingerprints.likeness
-    return both.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), like(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+    both = edited.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.col("fingerprint").alias("own"), fingerprints.fingerprint(F.col("edited")).alias("other"), F.col("next_fingerprint").alias("after"))
+    like, text = fingerprints.likeness, fingerprints.as_text
+    own, other, after = F.col("own"), F.col("other"), F.col("after")
+    return both.select("doc_id", "n_chars", "edited_sha256", text(own).alias("fingerprint"), text(other).alias("edited_fingerprint"), like(own, other).alias("near_edited"), like(own, after).alias("near_next"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
