@@ -7,8 +7,9 @@ the largest cosine. A text is rejected if that cosine is below a share (NEAR) of
 centroid has, or if it is null or has no letter (language `und`, score 0); of texts of fewer than 64 trigrams, whose cosines
 are small by nature, less is asked, by the square root of their number.
 
-The sample that centroids are fitted on is bounded: about PER_LANGUAGE rows of each language, picked by a hash of the id.
-Without rows to learn from, every text is `und`. Repeated rows get equal results.
+The sample that centroids are fitted on is bounded: at most PER_LANGUAGE rows of each language, in the order of a hash of key and
+text. Without rows to learn from, every text is `und`. Repeated rows get equal results, null keys are rows like others, an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LETTER, flat, tune
+from .common import LETTER, flat, fresh, tune
 
 #: Hashed dimensions; training rows of a language (a bound on the sample); centroids of a language.
 DIMENSIONS, PER_LANGUAGE, CENTROIDS = 4096, 300, 3
@@ -29,6 +30,9 @@ DIMENSIONS, PER_LANGUAGE, CENTROIDS = 4096, 300, 3
 #: A text is rejected below this share of the smallest training cosine.
 NEAR = 0.3
 
+#: The columns that identify adds.
+NEW = ("lang_pred", "score", "rejected")
+
 _CLASS = np.full(256, 0x20, np.uint32)
 _CLASS[0x41:0x5B] = np.arange(0x61, 0x7B)
 _CLASS[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -92,7 +96,7 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 10) -> tuple[np.ndarray, np.nd
 
 def fit(train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS) -> LanguageModel:
     """Learns from the rows of train that have a language and a text: document frequencies over all of them, centroids
-    from a sample of about per_language rows of each language (twice as many at most)."""
+    from a sample of at most per_language rows of each language."""
     tune(train.sparkSession)
     rows = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
     sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
@@ -111,18 +115,21 @@ def fit(train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
     total = sum(sizes.values())
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
 
-    share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, per_language / n)])[F.col("l")]
-    dice: Column = F.pmod(F.xxhash64(F.col("k"), F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
+    # a first choice by chance leaves some more than enough rows of each language, of which the first ones by hash are taken
+    share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, 2 * (per_language + 50) / n)])[F.col("l")]
+    dice: Column = F.xxhash64("k", "t", F.lit(9))
+    chosen = rows.where(F.pmod(dice, F.lit(1 << 30)) / float(1 << 30) < share).select("t", "l", dice.alias("d"), F.xxhash64("t", F.lit(10)).alias("e"))
 
     def vector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = counts(*flat(b.column(0)))
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x.astype("<u2").tobytes() for x in np.minimum(found, 65535)], pa.binary())], names=["l", "v"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([x.astype("<u2").tobytes() for x in np.minimum(found, 65535)], pa.binary())], names=["l", "d", "e", "v"])
 
+    place = F.row_number().over(Window.partitionBy("l").orderBy("d", "e"))
+    first = chosen.mapInArrow(vector, "l string, d long, e long, v binary").withColumn("place", place).where(F.col("place") <= per_language)
     sample: dict[str, list[bytes]] = {}
-    for r in rows.where(dice < share).select("t", "l").mapInArrow(vector, "l string, v binary").toLocalIterator():
-        if len(mine := sample.setdefault(r["l"], [])) < 2 * per_language:
-            mine.append(r["v"])
+    for r in first.select("l", "v").collect():  # per_language vectors of each language
+        sample.setdefault(r["l"], []).append(bytes(r["v"]))
     model = LanguageModel([], idf, np.zeros((0, DIMENSIONS), np.float32), np.zeros(0))
     for name, vectors in sorted(sample.items()):
         x = model.vectors(np.stack([np.frombuffer(v, "<u2") for v in sorted(vectors)]).astype(np.float32))
@@ -139,17 +146,19 @@ def fit(train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
 
 
 def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
-    """key (with carry, all columns of docs but those named as follows), lang_pred, score (cosine), rejected; a row for each row."""
+    """key, lang_pred, score (cosine), rejected; a row for each row. With carry all columns of docs instead of key, and those three
+    after them (with underscores after a name that docs has)."""
     tune(docs.sparkSession)
-    new = ("lang_pred", "score", "rejected")
-    own = [c for c in docs.columns if c not in new] if carry else [key]
-    rows = docs.select(F.struct(*own).alias("own"), F.col(text).alias("body"))
+    own = docs.columns if carry else [key]
+    names = [fresh(n, own) for n in NEW]
+    rows = docs.select(F.struct(*own).alias("own"), *([] if carry else [F.col(text).alias("body")]))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred kB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, at = flat(b.column(1))
-            names, score, far = shared.value.predict(data, at, b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(far)], names=["own", *new])
+            texts = b.column(0).field(text) if carry else b.column(1)
+            found, score, far = shared.value.predict(*flat(texts), texts.to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string()), pa.array(score), pa.array(far)], names=["own", *NEW])
 
-    return rows.mapInArrow(run, f"own {rows.schema['own'].dataType.simpleString()}, lang_pred string, score double, rejected boolean").select("own.*", *new)
+    out = rows.mapInArrow(run, f"own {rows.schema['own'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
+    return out.select("own.*", *[F.col(c).alias(n) for c, n in zip(NEW, names)])

@@ -4,8 +4,12 @@ A text's bytes are cut into overlapping chunks that cover the whole of it. Bytes
 chunk, each filter keeps its maximum in the chunk, a small layer turns the maxima into the chunk's log-odds, and the mean
 over all chunks gives one probability. Null and empty texts are one chunk of padding and get a score like any other.
 
-Training uses a bounded sample: at most SAMPLE labelled rows (picked by a hash of the id) and at most CHUNKS chunks of each,
-evenly spaced. Scoring reads every chunk. Without labels every score is 0.5.
+Training uses a bounded sample of labelled rows: at most SAMPLE of them, and of at most SAMPLE_BYTES bytes of text together, in the order of a hash
+of key and text; a row that doesn't fit any more is left out. The rows that are taken are learned from whole, every chunk of them. Repeated
+equal rows count once. Scoring reads every chunk of every row.
+
+Labels other than 0 and 1 and null keys aren't learned from; without labels every score is 0.5. Null keys are scored like others, repeated
+rows get equal scores, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,24 +22,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, tune
+from .common import flat, fresh, tune
 
 #: Bytes of a chunk, and from one chunk to the next.
 CHUNK, STEP = 512, 448
 #: Bytes under a filter, steps between its places, numbers of an embedded byte, filters, hidden units.
 WINDOW, STRIDE, EMBED, FILTERS, HIDDEN = 8, 2, 8, 32, 16
-#: Bounds of the training sample: rows, and chunks of a row.
-SAMPLE, CHUNKS = 3000, 6
+#: Bounds of the training sample: rows, and bytes of their texts together.
+SAMPLE, SAMPLE_BYTES = 3000, 32 << 20
+#: The columns that score adds.
+NEW = ("score", "predicted")
 
 
-def chunk_starts(lengths: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def chunk_starts(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The text of each chunk and where in it the chunk begins; the last chunk ends with its text."""
     n = np.where(lengths <= CHUNK, 1, -(-(lengths - CHUNK) // STEP) + 1)
-    take = n if most is None else np.minimum(n, most)
-    text = np.repeat(np.arange(len(n)), take)
-    k = np.arange(len(text)) - np.repeat(np.cumsum(take) - take, take)
-    if most is not None:
-        k = k * (n[text] - 1) // np.maximum(take[text] - 1, 1)
+    text = np.repeat(np.arange(len(n)), n)
+    k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
     return text, np.minimum(k * STEP, np.maximum(lengths[text] - CHUNK, 0))
 
 
@@ -126,43 +129,52 @@ class ByteConvNet:
                     setattr(self, n, (getattr(self, n) - pace * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.99**step)) + 1e-7)).astype(np.float32))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, chunks: int = CHUNKS) -> ByteConvNet | None:
-    """Learns from at most `sample` rows of labels (key, label 0 or 1) and their texts; None without any."""
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> ByteConvNet | None:
+    """Learns from at most `sample` labelled rows (key, label 0 or 1) with at most `sample_bytes` bytes of text; None without any."""
     tune(docs.sparkSession)
-    few = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("k", F.lit(2)), "k", "y").limit(sample)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(few), "k").select("k", "y", "t")  # at most `sample` rows
+    some = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).distinct()
+    few = some.orderBy(F.xxhash64("k", F.lit(2)), "k", "y").limit(sample)
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(few), "k")  # at most `sample` rows are broadcast
+    # a key may be repeated in docs: equal rows count once, and of the others `sample` are taken
+    once = rows.groupBy("k", "y", F.xxhash64("t").alias("h")).agg(F.first("t").alias("t"))
+    taken = once.orderBy(F.xxhash64("k", "h", F.lit(3)), "y").limit(sample).select("y", "t").coalesce(1)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room = sample_bytes
         for b in batches:
-            data, at = flat(b.column(2))
-            own, start = chunk_starts(np.diff(at), chunks)
-            got = chunk_bytes(data, at, own, start)
-            y = b.column(1).to_pylist()
-            keys = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([str(keys[i]) for i in own]), pa.array([y[i] for i in own], pa.int32()), pa.array([c.tobytes() for c in got], pa.binary())], names=["k", "y", "c"])
-
-    found = sorted((r["k"], r["y"], bytes(r["c"])) for r in rows.mapInArrow(pick, "k string, y int, c binary").toLocalIterator())
+            data, at = flat(b.column(1))
+            for i, y in enumerate(b.column(0).to_pylist()):
+                if (size := int(at[i + 1] - at[i])) <= room:
+                    room -= size
+                    yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([data[at[i] : at[i + 1]].tobytes()], pa.binary())], names=["y", "t"])
+
+    found = sorted((bytes(r["t"]), r["y"]) for r in taken.mapInArrow(pick, "y int, t binary").toLocalIterator())
     if not found:
         return None
-    x = np.frombuffer(b"".join(c for _, _, c in found), np.uint8).reshape(-1, CHUNK)
-    _, own, n = np.unique([k for k, _, _ in found], return_inverse=True, return_counts=True)
+    data = np.frombuffer(b"".join(t for t, _ in found), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(t) for t, _ in found])])
+    own, start = chunk_starts(np.diff(at))
+    x, n = chunk_bytes(data, at, own, start), np.bincount(own)
+    y = np.array([y for _, y in found], np.float32)
     net = ByteConvNet.start()
-    net.learn(x, np.array([y for _, y, _ in found], np.float32), (1 / n[own]).astype(np.float32), epochs=max(6, min(60, 1200 * 64 // len(x))))
+    net.learn(x, y[own], (1 / n[own]).astype(np.float32), epochs=max(4, min(60, 1200 * 64 // len(x))))
     return net
 
 
 def score(docs: DataFrame, net: ByteConvNet | None, key: str = "doc_id", text: str = "text", threshold: float = 0.3, carry: bool = False) -> DataFrame:
-    """key (with carry, all columns of docs but those named as follows), score, predicted (1 if score >= threshold); a row for each row."""
+    """key, score, predicted (1 if score >= threshold); a row for each row. With carry all columns of docs instead of key, and those two
+    after them (with underscores after a name that docs has)."""
     tune(docs.sparkSession)
-    new = ("score", "predicted")
-    own = [c for c in docs.columns if c not in new] if carry else [key]
-    rows = docs.select(F.struct(*own).alias("own"), F.col(text).alias("body"))
+    own = docs.columns if carry else [key]
+    names = [fresh(n, own) for n in NEW]
+    rows = docs.select(F.struct(*own).alias("own"), *([] if carry else [F.col(text).alias("body")]))
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a few tens of kB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, at = flat(b.column(1))
+            data, at = flat(b.column(0).field(text) if carry else b.column(1))
             p = np.full(b.num_rows, 0.5) if shared.value is None else shared.value.score(data, at)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names=["own", *new])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names=["own", *NEW])
 
-    return rows.mapInArrow(run, f"own {rows.schema['own'].dataType.simpleString()}, score double, predicted int").select("own.*", *new)
+    out = rows.mapInArrow(run, f"own {rows.schema['own'].dataType.simpleString()}, score double, predicted int")
+    return out.select("own.*", *[F.col(c).alias(n) for c, n in zip(NEW, names)])

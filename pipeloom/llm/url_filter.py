@@ -7,7 +7,8 @@ rules with several verdicts, block).
 
 Host: after the first `://` up to `/`, `?`, `#` or the end, with A-Z lower-cased (port and user name belong to it). Path: from
 there up to `?`, `#` or the end. Null, or without `://`: both empty. Without a fitting rule the verdict is `default` and the rule null.
-Each distinct url is judged once; rows of equal urls get equal results.
+Each distinct url is judged once; rows of equal urls get equal results, null urls aren't moved to one task. Rows with repeated or null keys are
+rows of their own. Only key and url are read, so other columns' names don't matter. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,8 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Rules up to this number (of some 100 bytes each) are broadcast; more are shuffled by hash prefix.
 BROADCAST_RULES = 100_000
+#: Up to this number of urls that a rule fits (of some 200 bytes each) are broadcast; more are shuffled.
+BROADCAST_URLS = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,17 +52,18 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
 
     urls = rows.where(F.col("__url").isNotNull()).select("__url").distinct().select("__url", host_of(F.col("__url")).alias("host"), path_of(F.col("__url")).alias("path"))
     parts = urls.withColumn("labels", F.split("host", r"\.")).withColumn("n", F.size("labels"))
-    made = []
-    for labels in sorted({s[0] for s in sizes}):
-        suffix = F.array_join(F.slice("labels", F.col("n") - labels + 1, labels), ".")
-        for chars in sorted({s[1] for s in sizes if s[0] == labels}):
-            made.append(F.when((F.col("n") >= labels) & (F.length("path") >= chars), F.concat(suffix, F.substring("path", 1, chars))))
-    expanded = parts.select("__url", F.explode(F.array_compact(F.array(*made))).alias("expression")).withColumn("full", F.sha2("expression", 256)).withColumn("start", F.substring("full", 1, 8))
-    best = (
+    # one expression, however many sizes there are
+    at = F.array(*[F.struct(F.lit(a).alias("labels"), F.lit(c).alias("chars")) for a, c in sizes])
+    fits = F.filter(at, lambda z: (F.col("n") >= z["labels"]) & (F.length("path") >= z["chars"]))
+    made = F.transform(fits, lambda z: F.concat(F.array_join(F.slice("labels", F.col("n") - z["labels"] + 1, z["labels"]), "."), F.substring("path", F.lit(1), z["chars"])))
+    expanded = parts.select("__url", F.explode(made).alias("expression")).withColumn("full", F.sha2("expression", 256)).withColumn("start", F.substring("full", 1, 8))
+    best = cut(
         expanded.join(hashed, "start").where((F.col("full") == F.col("digest")) & (F.col("expression") == F.col("rule")))
         .groupBy("__url").agg(F.max(F.struct(F.length("rule").alias("size"), F.col("rule"), F.col("verdict"))).alias("best"))
         .select(F.col("__url").alias("__of"), "best")
     )
-    return rows.join(best, F.col("__url") == F.col("__of"), "left").select(
-        key, host_of(F.col("__url")).alias("host"), path_of(F.col("__url")).alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
-    )
+    if best.count() <= BROADCAST_URLS:
+        best = F.broadcast(best)
+    # no url that a rule fits is without "://", so what null urls join by meets nothing
+    met = rows.withColumn("__by", F.coalesce("__url", F.concat(F.lit("null:"), F.col(key).cast("string")), F.lit(""))).join(best, F.col("__by") == F.col("__of"), "left")
+    return met.select(key, host_of(F.col("__url")).alias("host"), path_of(F.col("__url")).alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
