@@ -1,42 +1,48 @@
 """The corpus pipeline: language ID, quality, exact duplicates, near duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs, and returns a DataFrame that is written as Parquet and read
-again as the next stage's docs. All but the last return the columns of documents.
+again as the next stage's docs. All but the last return all columns that they got, those of documents. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipeloom.llm import exact_dedup, language_id, near_dedup, packing, quality
-from pipeloom.llm.common import crc_mod, shared_dir, table
+from pipeloom.llm.common import crc_mod, fresh, shared_dir, table
 from pipeloom.llm.vocab import default_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _added(docs: DataFrame, name: str) -> Column:
+    """The column that an operator adds to those of docs under this name."""
+    return F.col(fresh(name, docs.columns))
+
+
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is recognised; null texts and texts without letters go, and those far from all centroids."""
     model = language_id.fit(docs.where(crc_mod("doc_id", 3) != 1))
-    return language_id.identify(docs.select(COLUMNS), model, carry=True).where("not rejected").select(COLUMNS)
+    return language_id.identify(docs, model, carry=True).where(~_added(docs, "rejected")).select(docs.columns)
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the classifier, learned from their labels, scores at 0.3 or more."""
     labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0)
-    return quality.score(docs.select(COLUMNS), quality.fit(docs, labels), threshold=0.3, carry=True).where("predicted = 1").select(COLUMNS)
+    scored = quality.score(docs, quality.fit(docs, labels), threshold=0.3, carry=True)
+    return scored.where(_added(docs, "predicted") == 1).select(docs.columns)
 
 
 def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of equal texts (the longest original, then the smallest id)."""
-    return exact_dedup.exact_groups(docs.select(COLUMNS), carry=True).where("kept").select(COLUMNS)
+    return exact_dedup.exact_groups(docs, carry=True).where(_added(docs, "kept")).select(docs.columns)
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near duplicates; documents without id stay."""
     gone = near_dedup.near_duplicates(docs, percent=75).where("not kept and doc_id is not null").select("doc_id")
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
