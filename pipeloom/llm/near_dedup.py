@@ -9,11 +9,10 @@ words themselves, made again from the two whole texts, reach it. (A pair at exac
 5e-7. Shingles are known by 64-bit hashes until that last comparison, so classes and sizes rest on them.)
 
 Within a band's group no list of all pairs is made: all members are tried against one, the member that shares most groups.
-Groups that this doesn't make one component are tried further: pair by pair between components where those pairs are few
-against the rows; where they are many (texts that share a long passage, say), by the exact rule that two sets
+The members of groups that this doesn't connect are tried further by the exact rule that two sets
 of 75% overlap share one of the rarest shingles of both, the first n - ceil(0.75 n) + 1 of n by how many of these sets have it,
-and that enough of both sets is left from there on. Both ways find every pair that shares a band and isn't connected yet.
-To be tried, members travel to blocks of about 64 that share one hub; the hub's sketch or text travels once for each block.
+and that enough of both sets is left from there on; so texts that merely share a passage don't meet.
+To be tried, members travel to their hub; those of a heavy hub go to blocks, and the hub's sketch or text travels once for each block.
 Components are found by alternating large and small stars over tables; what heavy nodes need is broadcast.
 
 Keys are whole numbers. Rows of one id are taken as linked. A row without id gets no component and isn't kept. Only key and text are read,
@@ -102,11 +101,9 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 #: Up to this number of ids (8 bytes each) are broadcast to pick texts; more are shuffled.
 BROADCAST_IDS = 1_000_000
-#: Up to this number of rows of two or three numbers are broadcast; more are shuffled.
-BROADCAST_ROWS = 250_000
 #: A key with more rows than this, and than 1/HEAVY_PART of all rows, is heavy; there are HEAVY_PART of them at most.
 HEAVY, HEAVY_PART = 256, 10_000
-#: Members of a block, about.
+#: Members of a heavy hub's block, about.
 BLOCK = 64
 
 
@@ -153,14 +150,15 @@ def with_registers(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id long, n_shingles long, sketch binary, body string")
 
 
+def _heavy(rows: DataFrame, key: str, *aggregates) -> tuple[DataFrame, int]:
+    """A row for each key of rows (cut before): key, __n (its rows) and aggregates; and the number of rows from which on a key is heavy."""
+    return rows.groupBy(key).agg(F.count("*").alias("__n"), *aggregates), max(HEAVY, rows.count() // HEAVY_PART)
+
+
 def with_group(rows: DataFrame, key: str, *aggregates) -> DataFrame:
     """rows (cut before) with aggregates over their key's rows. No key's rows are gathered: aggregates are made by parts, those of
     heavy keys are broadcast (HEAVY_PART rows at most), the others joined."""
-    per = cut(rows.groupBy(key).agg(F.count("*").alias("__n"), *aggregates))
-    state = per.agg(F.count("*").alias("keys"), F.sum("__n").alias("rows")).first()
-    if state["keys"] <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(per.drop("__n")), key)
-    most = max(HEAVY, state["rows"] // HEAVY_PART)
+    per, most = _heavy(rows, key, *aggregates)
     heavy = F.broadcast(per.where(F.col("__n") > most).drop("__n"))
     some = rows.join(heavy, key)
     rest = rows.join(heavy.select(key), key, "left_anti").join(per.where(F.col("__n") <= most).drop("__n"), key)
@@ -174,25 +172,25 @@ def word_shingles(body: str | None) -> set[tuple[bytes, ...]]:
 
 
 def meet(pairs: DataFrame, whole: DataFrame, columns: list[str], read, fit) -> DataFrame:
-    """The pairs (a, b), a < b, of those (h, m) that fit(read(row of h), read(row of m)). pairs: cut, distinct. whole: id and the columns that read gets.
+    """Those pairs (h, m) that fit(read(row of h), read(row of m)). pairs: cut, distinct. whole: id and the columns that read gets.
 
-    The members of a hub h are dealt over blocks; each block gets the columns of h once, and those of each member once."""
-    blocks = with_group(pairs, "h", F.count("*").alias("n")).select("h", "m", F.pmod(F.xxhash64("m"), F.ceil(F.col("n") / BLOCK)).alias("block"))
-    blocks = cut(blocks)
+    A hub h gets the columns of each member once, and its own once; the members of a heavy hub are dealt over blocks, each of which gets the hub's."""
+    per, most = _heavy(pairs, "h")
+    heavy = per.where(F.col("__n") > most).select("h", F.ceil(F.col("__n") / BLOCK).alias("parts"))
+    blocks = pairs.join(F.broadcast(heavy), "h", "left").select("h", "m", F.pmod(F.xxhash64("m"), F.coalesce("parts", F.lit(1))).alias("block"))  # HEAVY_PART rows at most
     own = whole.select("id", *columns)
 
     def sent(rows: DataFrame, by: str, role: int) -> DataFrame:
-        few = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-        return own.join(few, own["id"] == rows[by]).select("h", "block", F.lit(role).alias("role"), "id", *columns)
+        return own.join(rows.withColumnRenamed(by, "id"), "id").select((F.col("id") if by == "h" else F.col("h")).alias("h"), "block", F.lit(role).alias("role"), "id", *columns)
 
-    both = sent(cut(blocks.select("h", "block").distinct()), "h", 0).union(sent(blocks, "m", 1))
+    both = sent(blocks.select("h", "block").distinct(), "h", 0).union(sent(blocks, "m", 1))
     placed = both.repartition("h", "block").sortWithinPartitions("h", "block", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, hubs = None, []
         for b in batches:
-            a, c = [], []
-            h, block, role, ids = (b.column(k).to_pylist() for k in range(4))
+            fits = []
+            h, block, role = (b.column(k).to_pylist() for k in range(3))
             rest = [x.to_pylist() for x in b.columns[4:]]
             for i in range(b.num_rows):
                 if (h[i], block[i]) != at:
@@ -200,16 +198,16 @@ def meet(pairs: DataFrame, whole: DataFrame, columns: list[str], read, fit) -> D
                 mine = read(*[x[i] for x in rest])
                 if not role[i]:
                     hubs.append(mine)
-                elif any(fit(x, mine) for x in hubs):
-                    a.append(min(h[i], ids[i]))
-                    c.append(max(h[i], ids[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
+                    fits.append(False)
+                else:
+                    fits.append(any(fit(x, mine) for x in hubs))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3)], names=["h", "m"]).filter(pa.array(fits, pa.bool_()))
 
-    return placed.mapInArrow(run, "a long, b long")
+    return placed.mapInArrow(run, "h long, m long")
 
 
 def verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of those (h, m) whose sets overlap by percent or more: registers are compared first, texts only of pairs that come near.
+    """The pairs (a, b), a < b, of those (h, m) whose sets overlap by percent or more: registers are compared first, texts only of pairs that come near.
     pairs: cut, distinct. whole: id, n_shingles, sketch, body."""
 
     def near(x: tuple[int, np.ndarray], y: tuple[int, np.ndarray]) -> bool:
@@ -223,8 +221,7 @@ def verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
         return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
 
     hopeful = cut(meet(pairs, whole, ["n_shingles", "sketch"], lambda n, s: (n, np.frombuffer(s, "<u2")), near).distinct())
-    oriented = cut(hopeful.join(pairs.select(F.least("h", "m").alias("a"), F.greatest("h", "m").alias("b"), "h", "m"), ["a", "b"]).groupBy("a", "b").agg(F.max("h").alias("h")).select("h", (F.col("a") + F.col("b") - F.col("h")).alias("m")))
-    return meet(oriented, whole, ["body"], word_shingles, alike)
+    return meet(hopeful, whole, ["body"], word_shingles, alike).select(F.least("h", "m").alias("a"), F.greatest("h", "m").alias("b"))
 
 
 def rare_pairs(whole: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -239,10 +236,8 @@ def rare_pairs(whole: DataFrame, members: DataFrame, percent: int) -> DataFrame:
                 rep, c = (np.repeat(np.array(part.column(k).to_pylist(), np.int64), n) for k in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(c), pa.array(np.repeat(n, n)), pa.array(np.concatenate(found).view(np.int64))], names=["rep", "c", "n", "s"])
 
-    members = cut(members)
-    known = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
-    rows = whole.select(F.col("id").alias("rep"), "body").join(known, "rep").select("rep", "c", "body").mapInArrow(spread, "rep long, c long, n long, s long")
-    common = rows.groupBy("s").agg(F.count("*").alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s", "df")
+    rows = whole.select(F.col("id").alias("rep"), "body").join(members, "rep").select("rep", "c", "body").mapInArrow(spread, "rep long, c long, n long, s long")
+    common = cut(rows.groupBy("s").agg(F.count("*").alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s", "df"))
     # shingles that only one component has are the rarest; they take up places at the front and make no pairs
     met = rows.join(common, "s").select("rep", "c", "n", "s", "df")
     own = F.col("n") - F.count("*").over(Window.partitionBy("rep"))
@@ -265,25 +260,32 @@ def components(links: DataFrame) -> DataFrame:
         if state["n"] == 0 or (state["n"], state["s"]) == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
         before = (state["n"], state["s"])
-        both = cut(edges.select("u", "v").union(edges.select("v", "u")))
-        least = with_group(both, "u", F.min("v").alias("m"))
+        least = with_group(_both(edges, "u", "v"), "u", F.min("v").alias("m"))
         large = cut(least.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
         low = with_group(large, "u", F.min("v").alias("m"))
         small = low.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v")
         edges = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, crowded: float = 2.0) -> DataFrame:
-    """key, n_shingles, component_id (the smallest key reachable over links), kept (key = component_id); a row for each row.
-    crowded: open pairs for each row of a group from which on they are found by rare shingles."""
+def _both(links: DataFrame, a: str, b: str) -> DataFrame:
+    return links.select(F.col(a).alias("u"), F.col(b).alias("v")).union(links.select(F.col(b).alias("u"), F.col(a).alias("v")))
+
+
+def near_labels(links: DataFrame) -> DataFrame:
+    """id, label of each id in links (a, b; cut before): the smallest id within two steps. All of a star have one label; equal labels mean connected."""
+    one = with_group(_both(links, "a", "b"), "v", F.min("u").alias("m"))
+    return one.groupBy(F.col("u").alias("id")).agg(F.least(F.min("u"), F.min("v"), F.min("m")).alias("label"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
+    """key, n_shingles, component_id (the smallest key reachable over links), kept (key = component_id); a row for each row."""
     tune(docs.sparkSession)
     rows = docs.select(whole_key(docs, key).alias("id"), F.col(text).alias("body"))
     sketched = kept_table(sketches(rows))
     classes = cut(sketched.where("n_shingles > 0 and id is not null").groupBy("digest", "mark").agg(F.min("id").alias("rep")))
     hashed = sketched.where(F.size("bands") > 0).select(F.explode("bands").alias("band"), "mark")
     shared = cut(hashed.groupBy("band").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("band"))
-    found = hashed.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "band").distinct()
-    members = cut(found.join(classes, "mark").select("band", "rep"))
+    members = cut(hashed.join(shared, "band").distinct().join(classes, "mark").select("band", "rep"))
     busy = cut(members.groupBy("rep").agg(F.count("*").alias("weight")))
     ids = busy.select(F.col("rep").alias("id"))
     if busy.count() <= BROADCAST_IDS:
@@ -293,25 +295,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     hub = with_group(placed, "band", F.max(F.struct("weight", (-F.col("rep")).alias("x"))).alias("t")).withColumn("h", -F.col("t.x"))
     tried = cut(hub.where("rep <> h").select("h", F.col("rep").alias("m")).distinct())
     links = cut(verified(tried, whole, percent))
-    root = components(links)
-
-    placed = cut(placed.join(root.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", "weight", F.coalesce("root", "rep").alias("c")))
-    # in each group the component of the heaviest member stays out; the others' members are the stragglers
-    top = (F.max(F.struct("weight", F.col("c").alias("main"))).alias("t"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"))
-    placed = cut(with_group(placed, "band", *top).where("lo <> hi").select("band", "rep", "c", "t.main", "size"))
-    state = placed.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.when(F.col("c") != F.col("main"), F.col("size"))), F.lit(0)).alias("open")).first()
-    if state["open"]:
-        if state["open"] <= crowded * state["rows"]:
-            few = cut(placed.where("c <> main").select("band", F.col("rep").alias("x"), F.col("c").alias("c_x")))
-            new = placed.join(few, "band").where((F.col("c") != F.col("c_x")) & ((F.col("c") == F.col("main")) | (F.col("rep") < F.col("x")))).select(F.col("x").alias("h"), F.col("rep").alias("m"))
-        else:
-            new = rare_pairs(whole, placed.select("rep", "c").distinct(), percent)
-        known = tried.union(tried.select("m", "h"))
-        new = cut(new.distinct().join(known, ["h", "m"], "left_anti"))
-        more = cut(verified(new, whole, percent))
-        if not more.isEmpty():
-            root = components(links.union(more))
-    same = classes.select("digest", "rep").join(root.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
+
+    # groups that aren't connected yet: their members may be linked to others than their hub
+    label = near_labels(links).withColumnRenamed("id", "rep")
+    known = cut(placed.select("band", "rep").join(label, "rep", "left").select("band", "rep", F.coalesce("label", "rep").alias("c")))
+    loose = cut(with_group(known, "band", F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("rep", "c").distinct())
+    new = rare_pairs(whole, loose, percent).distinct().join(tried.union(tried.select("m", "h")), ["h", "m"], "left_anti")
+    more = cut(verified(cut(new), whole, percent))
+    root = components(links.union(more)).withColumnRenamed("id", "rep")
+    same = classes.select("digest", "rep").join(root, "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
     out = sketched.select("id", "n_shingles", "digest").join(same, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("root"))).otherwise(F.col("id"))
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))

@@ -144,8 +144,9 @@ def components(rows, percent=75):
     return {k: (len(sets[k]), find(k)) for k in rows}
 
 
-@pytest.mark.parametrize("crowded", [2.0, 0.0])
-def test_near_dedup(spark, docs, empty, crowded):
+@pytest.mark.parametrize("heavy", [256, 3])
+def test_near_dedup(spark, docs, empty, heavy, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HEAVY", heavy)
     r = random.Random(5)
     base = [f"w{r.randint(0, 900)}" for _ in range(60)]
     more = {}
@@ -157,7 +158,7 @@ def test_near_dedup(spark, docs, empty, crowded):
     passage = [f"p{i}" for i in range(50)]
     more |= {2000 + i: " ".join(passage + [f"q{i}_{j}" for j in range(15)]) for i in range(40)}  # a shared passage links nothing
     rows = docs.select("doc_id", "text", "kept").unionByName(spark.createDataFrame([(k, t, "") for k, t in more.items()], "doc_id long, text string, kept string"))
-    got = near_dedup.near_duplicates(rows, crowded=crowded).collect()
+    got = near_dedup.near_duplicates(rows).collect()
     assert len(got) == rows.count()
     want = components({k: t for k, t in texts(rows).items() if k is not None})
     for x in got:
@@ -181,8 +182,7 @@ def test_links_are_confirmed_on_words():
     assert x == y and len(x) == 2 and near_dedup.word_shingles(" \n") == set() and len(near_dedup.word_shingles("a b")) == 1 and near_dedup.word_shingles(None) == set()
 
 
-def test_heavy_keys_are_not_gathered(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
+def test_heavy_keys_are_not_gathered(spark):
     rows = near_dedup.cut(spark.range(4000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v")))
     got = near_dedup.with_group(rows, "k", F.min("v").alias("m"), F.count("*").alias("n"))
     assert "Union" in got._jdf.queryExecution().optimizedPlan().toString()
