@@ -102,7 +102,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 #: Up to this number of ids (8 bytes each) are broadcast to pick texts; more are shuffled.
 BROADCAST_IDS = 1_000_000
 #: A key with more rows than this, and than 1/HEAVY_PART of all rows, is heavy; there are HEAVY_PART of them at most.
-HEAVY, HEAVY_PART = 256, 10_000
+HEAVY, HEAVY_PART = 64, 10_000
 #: Members of a heavy hub's block, about.
 BLOCK = 64
 

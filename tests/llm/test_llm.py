@@ -144,7 +144,7 @@ def components(rows, percent=75):
     return {k: (len(sets[k]), find(k)) for k in rows}
 
 
-@pytest.mark.parametrize("heavy", [256, 3])
+@pytest.mark.parametrize("heavy", [64, 3])
 def test_near_dedup(spark, docs, empty, heavy, monkeypatch):
     monkeypatch.setattr(near_dedup, "HEAVY", heavy)
     r = random.Random(5)
