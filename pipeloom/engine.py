@@ -64,13 +64,13 @@ class Engine:
     def aggregate(self, source: str | DataFrame, pipeline) -> DataFrame:
         """The rows of the pipeline over a collection or a frame (a streaming one too, for stages that need no order)."""
         df = self.catalog.get(source) if isinstance(source, str) else source
-        out, _ = self.run(df, pipeline)
-        return bare(out)
+        out, ctx = self.run(df, pipeline)
+        return bare(ctx.arranged(out)[0])
 
     def compile(self, source: str | DataFrame, pipeline) -> Result:
         df = self.catalog.get(source) if isinstance(source, str) else source
         out, ctx = self.run(df, pipeline)
-        return Result(bare(out), Capability.FULL_SUPPORT, ctx.warnings)
+        return Result(bare(ctx.arranged(out)[0]), Capability.FULL_SUPPORT, ctx.warnings)
 
     def documents(self, source: str | DataFrame, pipeline) -> DataFrame:
         """The same as one column of JSON documents."""

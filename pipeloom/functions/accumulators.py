@@ -66,8 +66,8 @@ def accumulator(name: str, spec, s: Scope, order: Order | None = None, ranked: C
         if key is None:
             return F.transform(F.collect_list(F.struct(v.col.alias("x"))), lambda e: e["x"])
         return F.transform(F.sort_array(F.collect_list(F.struct(key.alias("k"), v.col.alias("x"))), up), lambda e: e["x"])
-    if op == "$addToSet":
-        return F.sort_array(F.collect_set(v.col))
+    if op == "$addToSet":  # in a box, null isn't left out
+        return F.transform(F.sort_array(F.collect_set(F.struct(v.col.alias("x")))), lambda e: e["x"])
     if op == "$mergeObjects":
         return _merged(x, v, s, key, up)
     raise UnsupportedOperatorError(op)
@@ -113,11 +113,37 @@ def windowed(name: str, op: str, x, s: Scope, w: WindowSpec, framed: WindowSpec)
     if op == "$sum":
         n = number(v)
         return F.coalesce(F.sum(n.col).over(framed), F.lit(0.0) if isinstance(n.type, T.DoubleType) else F.lit(0))
-    simple = {"$avg": lambda c: F.avg(c), "$min": F.min, "$max": F.max, "$first": F.first, "$last": F.last, "$stdDevPop": F.stddev_pop, "$stdDevSamp": F.stddev_samp, "$push": F.collect_list, "$addToSet": F.collect_set}
-    if op not in simple:
+    if op in ("$push", "$addToSet"):
+        boxed = (F.collect_list if op == "$push" else F.collect_set)(F.struct(v.col.alias("x"))).over(framed)
+        return F.transform(boxed if op == "$push" else F.sort_array(boxed), lambda e: e["x"])
+    if op not in _SIMPLE:
         raise UnsupportedOperatorError(op)
-    numeric = op in ("$avg", "$stdDevPop", "$stdDevSamp")
-    return simple[op](number(v).col if numeric else v.col).over(framed)
+    return _SIMPLE[op](number(v).col if op in _NUMERIC else v.col).over(framed)
+
+
+_SIMPLE = {"$avg": F.avg, "$min": F.min, "$max": F.max, "$first": F.first, "$last": F.last, "$stdDevPop": F.stddev_pop, "$stdDevSamp": F.stddev_samp}
+_NUMERIC = ("$avg", "$stdDevPop", "$stdDevSamp")
+_CALENDAR = {"$sum": "sum", "$avg": "avg", "$min": "min", "$max": "max", "$first": "first", "$last": "last", "$count": "count", "$stdDevPop": "stddev_pop", "$stdDevSamp": "stddev_samp", "$push": "collect_list", "$addToSet": "collect_set"}
+
+
+def calendar_argument(op: str, x, s: Scope) -> Column:
+    """What the function of a calendar frame is computed from, as a column."""
+    if op not in _CALENDAR:
+        raise UnsupportedOperatorError(op)
+    if op == "$count":
+        return F.lit(1)
+    v = compiled(x, s)
+    return F.struct(v.col.alias("x")) if op in ("$push", "$addToSet") else number(v).col if op in ("$sum", *_NUMERIC) else v.col
+
+
+def calendar(op: str, column: str, over: str, rows) -> Column:
+    """The function over a frame that is written as SQL."""
+    out = F.expr(f"{_CALENDAR[op]}(`{column}`) {over}")
+    if op == "$sum":
+        return F.coalesce(out, F.lit(0).cast(rows.schema[column].dataType))
+    if op in ("$push", "$addToSet"):
+        return F.transform(out if op == "$push" else F.sort_array(out), lambda e: e["x"])
+    return out
 
 
 __all__ = ["Order", "Value", "accumulator", "needs_order", "quoted", "sort_key", "windowed"]

@@ -407,7 +407,35 @@ OPERATORS |= {
 }
 
 
-@operator("$substr", "$substrCP", "$substrBytes")
+@operator("$substrBytes")
+def _substr_bytes(x, s):
+    v, a, n = arguments(x, s, "$substrBytes", 3, 3)
+
+    def cut(c, i, m):
+        raw = F.encode(c, "UTF-8")
+        part = F.when(i < 0, F.lit(b"")).when(m < 0, F.substring(raw, (i + 1).cast("int"), F.octet_length(c))).otherwise(F.substring(raw, (i + 1).cast("int"), m.cast("int")))
+        return F.coalesce(F.decode(part, "UTF-8"), F.lit(""))
+
+    return text(v).then(cut, number(a), number(n), kind=STRING)
+
+
+@operator("$indexOfBytes")
+def _index_of_bytes(x, s):
+    v, sub, *rest = arguments(x, s, "$indexOfBytes", 2, 4)
+    start = number(rest[0]) if rest else s.literal(0)
+    end = number(rest[1]) if len(rest) > 1 else None
+
+    def find(c, d, i, *e):
+        # bytes are told apart by their hexadecimal digits; an odd place is the middle of a byte, so digits are parted
+        pairs = lambda t: F.regexp_replace(F.hex(F.encode(t, "UTF-8")), "(..)", "$1 ")
+        part = F.substring(pairs(c), F.lit(1), (e[0] * 3).cast("int")) if e else pairs(c)
+        at = F.position(pairs(d), F.substring(part, (i * 3 + 1).cast("int"), F.char_length(part)))
+        return F.when(c.isNotNull() & d.isNotNull(), F.when((i <= F.octet_length(c)) & (at > 0), i + F.floor(at / 3)).otherwise(-1)).cast("int")
+
+    return text(v).then(find, text(sub), start, *([end] if end else []), kind=INT)
+
+
+@operator("$substr", "$substrCP")
 def _substr(x, s):
     v, a, n = arguments(x, s, "$substr", 3, 3)
     cut = lambda c, i, m: F.when(i < 0, F.lit("")).when(m < 0, c.substr((i + 1).cast("int"), F.char_length(c))).otherwise(c.substr((i + 1).cast("int"), m.cast("int")))
@@ -442,7 +470,7 @@ def _split(x, s):
     return a.then(lambda c, d: F.split(c, _quoted(d)), b, kind=T.ArrayType(STRING))
 
 
-@operator("$indexOfCP", "$indexOfBytes")
+@operator("$indexOfCP")
 def _index_of(x, s):
     v, sub, *rest = arguments(x, s, "$indexOfCP", 2, 4)
     start = number(rest[0]) if rest else s.literal(0)

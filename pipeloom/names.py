@@ -6,6 +6,7 @@ import re
 
 from .errors import ValidationError
 
+#: What names may look like (fixed values).
 SEGMENT = re.compile(r"[a-zA-Z_][a-zA-Z0-9_]*\Z")
 COLLECTION = re.compile(r"[a-zA-Z][a-zA-Z0-9_]{0,127}\Z")
 LONGEST = 128

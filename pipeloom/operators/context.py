@@ -15,13 +15,14 @@ from ..sources.catalog import Catalog
 
 @dataclass
 class Context:
-    """catalog: the collections. run: folds a pipeline over rows. order: that of the last $sort, as far as it still holds.
-    carry: hidden columns that every stage keeps and works within (rows of unlike carry never meet)."""
+    """catalog: the collections. run: folds a pipeline over rows. order: that of the last $sort, as far as it still holds; pending:
+    rows don't stand in it yet (a stage that cuts by order, or the end, brings them into it). carry: hidden columns that every stage keeps and works within (rows of unlike carry never meet)."""
 
     catalog: Catalog
     run: Callable[..., tuple[DataFrame, Context]]
     strict: bool = False
     order: Order = field(default_factory=list)
+    pending: bool = False
     carry: tuple[str, ...] = ()
     variables: dict[str, str] = field(default_factory=dict)  # names and their hidden columns
     warnings: list[str] = field(default_factory=list)
@@ -31,10 +32,26 @@ class Context:
         return s.bind(**{k: Value(F.col(quoted(c)), df, kind=df.schema[c].dataType) for k, c in self.variables.items() if c in df.columns})
 
     def sorted(self, order: Order) -> Context:
-        return replace(self, order=order)
+        return replace(self, order=order, pending=bool(order))
 
     def unsorted(self) -> Context:
-        return replace(self, order=[])
+        return replace(self, order=[], pending=False)
+
+    def moved(self) -> Context:
+        """After rows were shuffled: the order still holds by its keys."""
+        return replace(self, pending=bool(self.order))
+
+    def warn(self, message: str) -> None:
+        if message not in self.warnings:
+            self.warnings.append(message)
+
+    def arranged(self, df: DataFrame) -> tuple[DataFrame, Context]:
+        """The rows in the order that is pending."""
+        if not self.pending or self.carry or df.isStreaming:
+            return df, self
+        s = self.scope(df)
+        keys = [s.field(p).col.asc() if up else s.field(p).col.desc() for p, up in self.order]
+        return df.orderBy(*keys), replace(self, pending=False)
 
     def kept(self) -> list[Column]:
         """The columns whose unlike values keep rows apart."""

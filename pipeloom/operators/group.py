@@ -10,8 +10,9 @@ from ..errors import ValidationError
 from ..functions.accumulators import accumulator, needs_order, sort_key
 from ..functions.expressions import compiled, plain
 from ..functions.values import is_null, quoted
+from ..plans.durable import cut
 from .context import Context, visible
-from .shape import ordering
+from .shape import ordered, ordering
 
 
 def group(df: DataFrame, spec, ctx: Context):
@@ -50,7 +51,7 @@ def count(df: DataFrame, spec, ctx: Context):
 
 def sort_by_count(df: DataFrame, spec, ctx: Context):
     out, ctx = group(df, {"_id": spec, "count": {"$sum": 1}}, ctx)
-    return (out if ctx.carry else out.orderBy(F.col("count").desc())), ctx.sorted([("count", False)])
+    return ordered(out, ctx, [(F.col("count"), False)])
 
 
 def _output(spec: dict) -> dict:
@@ -77,33 +78,48 @@ def bucket(df: DataFrame, spec, ctx: Context):
     rows = df.withColumn("__bucket", place)
     s = ctx.scope(rows)
     out = rows.groupBy(F.col("__bucket").alias("_id"), *ctx.kept()).agg(*[accumulator(k, a, s, ctx.order).alias(k) for k, a in _output(spec).items()])
-    return (out if ctx.carry else out.orderBy("_id")), ctx.sorted([("_id", True)])
+    return ordered(out, ctx, [(F.col("_id"), True)])
 
 
 def bucket_auto(df: DataFrame, spec, ctx: Context):
-    """Buckets of about equal size; equal values share one. Places come from running counts over the distinct values, which are
-    counted before they are brought into one order."""
+    """Buckets of about equal size; equal values share one. The distinct values are counted, dealt by range and numbered within
+    their ranges; the ranges' totals (a row each) give what stands before each. Rows find their bucket by its smallest value, of which there are
+    as many as buckets."""
     if not isinstance(spec, dict) or "groupBy" not in spec or not isinstance(spec.get("buckets"), int) or spec["buckets"] < 1:
         raise ValidationError("MISSING_ARGUMENT", "$bucketAuto needs groupBy and a positive number of buckets")
     n = spec["buckets"]
     rows = df.withColumn("__value", compiled(spec["groupBy"], ctx.scope(df)).col)
     kept = ctx.kept()
     counts = rows.groupBy("__value", *kept).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*kept) if kept else Window.partitionBy()
-    running = counts.withColumn("__before", F.sum("__n").over(w.orderBy(F.col("__value").asc()).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).withColumn("__all", F.sum("__n").over(w))
+    if kept:
+        w = Window.partitionBy(*kept)
+        running = counts.withColumn("__before", F.sum("__n").over(w.orderBy(F.col("__value").asc()).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).withColumn("__all", F.sum("__n").over(w))
+    else:
+        # where ranges begin is drawn from a sample, so they are fixed by a cut before they are read twice
+        dealt = cut(counts.repartitionByRange(F.col("__value").asc()).withColumn("__range", F.spark_partition_id()))
+        totals = [(r["__range"], r["n"]) for r in dealt.groupBy("__range").agg(F.sum("__n").alias("n")).orderBy("__range").collect()]
+        offsets, before = [], 0
+        for k, m in totals:
+            offsets.append((k, before))
+            before += m
+        starts = df.sparkSession.createDataFrame(offsets, "__range int, __start long")
+        inside = Window.partitionBy("__range").orderBy(F.col("__value").asc()).rowsBetween(Window.unboundedPreceding, 0)
+        running = dealt.withColumn("__run", F.sum("__n").over(inside)).join(F.broadcast(starts), "__range").select("__value", "__n", (F.col("__start") + F.col("__run") - F.col("__n")).alias("__before"), F.lit(before).alias("__all"))
     size = F.greatest(F.round(F.col("__all") / n), F.lit(1))
-    places = running.select(F.col("__value").alias("__v"), *[F.col(quoted(c)).alias(f"{c}_p") for c in ctx.carry], F.least(F.floor(F.col("__before") / size), F.lit(n - 1)).alias("__bucket"))
-    on = F.col("__value").eqNullSafe(F.col("__v"))
+    places = running.withColumn("__bucket", F.least(F.floor(F.col("__before") / size), F.lit(n - 1)))
+    # the smallest value of each bucket (n at most, for each carry) and that of the next
+    low = places.groupBy("__bucket", *kept).agg(F.min(F.struct("__before", F.col("__value").alias("v"))).alias("low")).select("__bucket", F.col("low.v").alias("__low"), *kept)
+    above = F.lead(F.struct(F.col("__low").alias("v"))).over((Window.partitionBy(*kept) if kept else Window.partitionBy()).orderBy("__bucket"))
+    bounds = low.withColumn("__next", above).withColumnsRenamed({c: f"{c}_p" for c in ctx.carry})
+    box = F.struct(F.col("__value").alias("v"))
+    on = (box >= F.struct(F.col("__low").alias("v"))) & (F.col("__next").isNull() | (box < F.col("__next")))
     for c in ctx.carry:
         on = on & F.col(quoted(c)).eqNullSafe(F.col(quoted(f"{c}_p")))
-    joined = rows.join(places, on, "left").drop("__v", *[f"{c}_p" for c in ctx.carry])
+    joined = rows.join(bounds if kept else F.broadcast(bounds), on).drop(*[f"{c}_p" for c in ctx.carry])
     s = ctx.scope(joined)
-    out = joined.groupBy("__bucket", *kept).agg(F.min("__value").alias("__min"), F.max("__value").alias("__max"), *[accumulator(k, a, s, ctx.order).alias(k) for k, a in _output(spec).items()])
-    following = F.lead("__min").over((Window.partitionBy(*kept) if kept else Window.partitionBy()).orderBy("__bucket"))
-    out = out.withColumn("_id", F.struct(F.col("__min").alias("min"), F.coalesce(following, F.col("__max")).alias("max")))
-    names = [k for k in _output(spec)]
-    out = out.select("_id", *names, *kept) if kept else out.orderBy("__bucket").select("_id", *names)
-    return out, ctx.sorted([("_id.min", True)])
+    out = joined.groupBy("__bucket", *kept).agg(F.first("__low").alias("__min"), F.max("__value").alias("__max"), F.first("__next").alias("__next"), *[accumulator(k, a, s, ctx.order).alias(k) for k, a in _output(spec).items()])
+    out = out.withColumn("_id", F.struct(F.col("__min").alias("min"), F.coalesce("__next.v", F.col("__max")).alias("max")))
+    return ordered(out.select("_id", *_output(spec), *kept, "__bucket"), ctx, [(F.col("__bucket"), True)])[0].drop("__bucket"), ctx.sorted([("__sort_0", True)])
 
 
 def facet(df: DataFrame, spec, ctx: Context):
@@ -112,12 +128,16 @@ def facet(df: DataFrame, spec, ctx: Context):
         raise ValidationError("EMPTY_FACET", "$facet takes a document of pipelines")
     if ctx.carry:
         raise ValidationError("NOT_HERE", "$facet can't stand in the pipeline of a $lookup")
+    ctx.warn("$facet: each facet reads the input anew, and its rows become one array")
     out = None
     for name, pipeline in spec.items():
         rows, after = ctx.run(df, pipeline, ctx)
         doc = F.struct(*[F.col(quoted(c)) for c in visible(rows)])
         s = after.scope(rows)
         key = sort_key(after.order, s) if after.order else None
+        if key is None and after.order:  # keys of both directions that can't be made one column
+            rows = rows.withColumn("__sort_place", F.row_number().over(Window.orderBy(*ordering(rows, after))))
+            key = F.col("__sort_place"), True
         if key is not None:
             array = F.transform(F.sort_array(F.collect_list(F.struct(key[0].alias("k"), doc.alias("d"))), key[1]), lambda e: e["d"])
         else:
@@ -128,12 +148,14 @@ def facet(df: DataFrame, spec, ctx: Context):
 
 
 def set_window_fields(df: DataFrame, spec, ctx: Context):
-    from ..functions.accumulators import windowed
+    from ..functions.accumulators import calendar, calendar_argument, windowed
 
     if not isinstance(spec, dict) or not isinstance(spec.get("output"), dict) or not spec["output"]:
         raise ValidationError("MISSING_ARGUMENT", "$setWindowFields needs output")
     s = ctx.scope(df)
     by, order = spec.get("partitionBy"), spec.get("sortBy") or {}
+    if by is None and not ctx.carry:
+        ctx.warn("$setWindowFields without partitionBy: all rows go through one task")
     parts = [compiled(by, s).col] if by is not None else []
     w = Window.partitionBy(*parts, *ctx.kept())
     keys = []
@@ -143,40 +165,81 @@ def set_window_fields(df: DataFrame, spec, ctx: Context):
             keys.append(v.col.asc() if way > 0 else v.col.desc())
     if keys:
         w = w.orderBy(*keys)
-    new = {}
+    new, extra = {}, {}
     for name, how in spec["output"].items():
         how = dict(how)
         frame = how.pop("window", None)
         if len(how) != 1:
             raise ValidationError("ONE_ACCUMULATOR", f"{name} takes one function")
         (op, x), *_ = how.items()
+        if frame and frame.get("unit") in _MONTHS:
+            extra |= {f"__w_{len(extra)}_part": F.struct(*[p.alias(f"p{i}") for i, p in enumerate([*parts, *ctx.kept()])]) if parts or ctx.carry else F.lit(0)}
+            part = next(reversed(extra))
+            at, way = _time(order, s)
+            extra |= {f"__w_{len(extra)}_time": at.cast("timestamp")}
+            time = next(reversed(extra))
+            new[name] = (op, x, part, time, way, frame)
+            continue
         framed = _frame(w, frame, order, s)
         new[name] = windowed(name, op, x, s, w if keys else w.orderBy(F.lit(1)), framed)
-    return df.withColumns(new), ctx
-
-
-_UNITS = {"millisecond": 0.001, "second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+    if not extra:
+        return df.withColumns(new), ctx.moved()
+    # calendar frames are written as SQL, which alone has ranges of months
+    rows, made = df.withColumns(extra), {}
+    for name, c in new.items():
+        if isinstance(c, tuple):
+            op, x, part, time, way, frame = c
+            over = f"OVER (PARTITION BY {part} ORDER BY {time} {'ASC' if way > 0 else 'DESC'} RANGE BETWEEN {_months(frame, 0)} AND {_months(frame, 1)})"
+            rows = rows.withColumn(f"__w_{name}_arg", calendar_argument(op, x, s))
+            c = calendar(op, f"__w_{name}_arg", over, rows)
+        made[name] = c
+    return rows.withColumns(made).drop(*[c for c in rows.columns if c.startswith("__w_")]), ctx.moved()
+
+
+#: Microseconds of each unit of time, and months of each unit of the calendar (fixed values).
+_UNITS = {"microsecond": 1, "millisecond": 1_000, "second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000, "week": 604_800_000_000}
+_MONTHS = {"month": 1, "quarter": 3, "year": 12}
+
+
+def _time(order: dict, s) -> tuple[Column, int]:
+    if len(order) != 1:
+        raise ValidationError("BAD_WINDOW", "a range of time needs one field to sort by")
+    (path, way), *_ = order.items()
+    return s.field(path).col, way
+
+
+def _months(frame: dict, which: int) -> str:
+    x = frame["range"][which]
+    if x == "unbounded":
+        return "UNBOUNDED FOLLOWING" if which else "UNBOUNDED PRECEDING"
+    if x == "current" or x == 0:
+        return "CURRENT ROW"
+    if not isinstance(x, int) or isinstance(x, bool):
+        raise ValidationError("BAD_WINDOW", f"{frame['unit']}s are counted in whole numbers")
+    return f"INTERVAL '{abs(x) * _MONTHS[frame['unit']]}' MONTH {'FOLLOWING' if x > 0 else 'PRECEDING'}"
 
 
 def _frame(w, frame, order: dict, s):
     if frame is None:  # the whole partition
         return w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     kind = "documents" if "documents" in frame else "range" if "range" in frame else None
-    if kind is None or len(frame[kind]) != 2:
+    if kind is None or not isinstance(frame[kind], list) or len(frame[kind]) != 2:
         raise ValidationError("BAD_WINDOW", "a window has documents or range with two bounds")
     low, high = frame[kind]
-    unit = _UNITS.get(frame.get("unit"), 1)
+    if "unit" in frame and (frame["unit"] not in _UNITS or kind != "range"):
+        raise ValidationError("BAD_UNIT", f"no unit of a range: {frame['unit']!r}")
+    unit = _UNITS.get(frame.get("unit"))
 
     def bound(x, edge):
-        return edge if x == "unbounded" else Window.currentRow if x == "current" else int(x) if kind == "documents" else x * unit
+        if x in ("unbounded", "current"):
+            return edge if x == "unbounded" else Window.currentRow
+        return round(x * unit) if unit else int(x) if kind == "documents" else x
 
     a, b = bound(low, Window.unboundedPreceding), bound(high, Window.unboundedFollowing)
     if kind == "documents":
         return w.rowsBetween(a, b)
-    if "unit" in frame:  # a range of time: over seconds
-        (path, way), *_ = order.items()
-        sec = s.field(path).col.cast("timestamp").cast("double")
-        w = w.orderBy(sec.asc() if way > 0 else sec.desc())
+    if unit:  # a range of time: over microseconds
+        at, way = _time(order, s)
+        us = F.unix_micros(at.cast("timestamp"))
+        w = w.orderBy(us.asc() if way > 0 else us.desc())
     return w.rangeBetween(a, b)
-
-

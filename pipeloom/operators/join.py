@@ -13,12 +13,40 @@ from ..functions.predicates import condition
 from ..functions.values import Scope, Value, quoted, rank, text
 from ..names import segments
 from .context import Context, visible
+from .shape import add_fields
 
 
 def _document(df: DataFrame):
     return F.struct(*[F.col(quoted(c)) for c in visible(df)])
 
 
+def _put(df: DataFrame, name: str, column: str, ctx: Context) -> DataFrame:
+    """The hidden column under the name that $lookup gives it, which may be that of a nested field."""
+    if "." in name:
+        return add_fields(df, {name: f"${column}"}, ctx)[0].drop(column)
+    order = [c for c in df.columns if c not in (name, column)]
+    return df.select(*[F.col(quoted(c)) for c in order], F.col(column).alias(name))
+
+
+def _empty_for(kind: T.DataType):
+    return F.array().cast(kind)
+
+
+def _by_element(left: DataFrame, rows: DataFrame, several: bool) -> DataFrame:
+    """(__v, __d): for each distinct array __v of left's column __l the documents that have one of its elements as key, each row of the other collection
+    once; a null array looks for null. several: a document may have several keys."""
+    values = left.select(F.col("__l").alias("__v")).distinct()
+    one_null = F.array(F.lit(None).cast(values.schema["__v"].dataType.elementType))
+    elements = values.select("__v", F.explode(F.array_distinct(F.coalesce("__v", one_null))).alias("__e"))
+    if not several:
+        return elements.join(rows, F.col("__e").eqNullSafe(F.col("__f"))).select("__v", "__d")
+    # rows are known by their content and how often it stands there
+    known = rows.groupBy("__d").agg(F.count(F.lit(1)).alias("__n"), F.first("__f").alias("__f"))
+    keys = known.select("__d", "__n", F.explode(F.array_distinct(F.when(F.size("__f") > 0, F.col("__f")).otherwise(F.array(F.lit(None))))).alias("__f"))
+    met = elements.join(keys, F.col("__e").eqNullSafe(F.col("__f"))).select("__v", "__d", "__n").distinct()
+    return met.select("__v", F.explode(F.array_repeat("__d", F.col("__n").cast("int"))).alias("__d"))
+
+
 def lookup(df: DataFrame, spec, ctx: Context):
     if not isinstance(spec, dict) or not isinstance(spec.get("from"), str) or not isinstance(spec.get("as"), str):
         raise ValidationError("MISSING_ARGUMENT", "$lookup needs from and as")
@@ -30,32 +58,27 @@ def lookup(df: DataFrame, spec, ctx: Context):
     segments(name)
     right = ctx.catalog.get(spec["from"]).drop("__raw")
     local, foreign = ctx.scope(df).field(spec["localField"]), Scope(right).field(spec["foreignField"])
-    by_element = isinstance(local.type, T.ArrayType)
-    own = [F.monotonically_increasing_id().alias("__id")] if by_element else []
-    rows = right.select(foreign.col.alias("__f"), _document(right).alias("__d"), *own)
-    own = ["__id"] if by_element else []
-    if isinstance(foreign.type, T.ArrayType):
-        rows = rows.select(F.explode(F.array_distinct(F.when(F.size("__f") > 0, F.col("__f")).otherwise(F.array(F.lit(None))))).alias("__f"), "__d", *own)
-    match_type = foreign.type.elementType if isinstance(foreign.type, T.ArrayType) else foreign.type
-    local_type = local.type.elementType if isinstance(local.type, T.ArrayType) else local.type
-    unlike = rank(local_type) != rank(match_type) and -1 not in (rank(local_type), rank(match_type))
-    if unlike:
-        rows = rows.limit(0).select(F.lit(None).cast(local_type).alias("__f"), "__d", *own)
+    by_element, several = isinstance(local.type, T.ArrayType), isinstance(foreign.type, T.ArrayType)
+    rows = right.select(foreign.col.alias("__f"), _document(right).alias("__d"))
+    match_type = foreign.type.elementType if several else foreign.type
+    local_type = local.type.elementType if by_element else local.type
+    if rank(local_type) != rank(match_type) and -1 not in (rank(local_type), rank(match_type)):  # unlike types never meet
+        rows, several = rows.limit(0).select(F.lit(None).cast(local_type).alias("__f"), "__d"), False
     left = df.withColumn("__l", local.col)
     if by_element:
-        # the elements of a row's array are looked up one by one, and its matches gathered again, each foreign row once
-        left = left.withColumn("__row", F.monotonically_increasing_id())
-        pairs = left.select("__row", F.explode(F.array_distinct("__l")).alias("__l")).join(rows, F.col("__l").eqNullSafe(F.col("__f"))).dropDuplicates(["__row", "__id"]).groupBy("__row").agg(F.collect_list("__d").alias(name))
-        return left.join(pairs, "__row", "left").withColumn(name, F.coalesce(name, F.array().cast(pairs.schema[name].dataType))).drop("__row", "__l"), ctx
+        rows = _by_element(left, rows, several).select(F.col("__v").alias("__f"), "__d")
+    elif several:
+        rows = rows.select(F.explode(F.array_distinct(F.when(F.size("__f") > 0, F.col("__f")).otherwise(F.array(F.lit(None))))).alias("__f"), "__d")
     on = F.col("__l").eqNullSafe(F.col("__f"))
-    keep = [F.col(quoted(c)) for c in df.columns if c != name]
     if mode := spec.get("__unwind"):  # a plain join: no arrays are made
-        return left.join(rows, on, mode).select(*keep, F.col("__d").alias(name)), ctx.unsorted()
-    if spec.get("__count"):
+        joined = left.join(rows, on, mode).withColumnRenamed("__d", "__as")
+    elif spec.get("__count"):
         counts = rows.groupBy("__f").agg(F.count(F.lit(1)).alias("__n"))
-        return left.join(counts, on, "left").select(*keep, F.coalesce("__n", F.lit(0)).cast("int").alias(name)), ctx.unsorted()
-    groups = rows.groupBy("__f").agg(F.collect_list("__d").alias("__a"))
-    return left.join(groups, on, "left").select(*keep, F.coalesce("__a", F.array().cast(groups.schema["__a"].dataType)).alias(name)), ctx.unsorted()
+        joined = left.join(counts, on, "left").withColumn("__as", F.coalesce("__n", F.lit(0)).cast("int")).drop("__n")
+    else:
+        groups = rows.groupBy("__f").agg(F.collect_list("__d").alias("__a"))
+        joined = left.join(groups, on, "left").withColumn("__as", F.coalesce("__a", _empty_for(groups.schema["__a"].dataType))).drop("__a")
+    return _put(joined.drop("__l", "__f"), name, "__as", ctx), ctx.moved()
 
 
 def _conjuncts(x) -> list:
@@ -79,7 +102,7 @@ def _pipeline(df: DataFrame, spec: dict, ctx: Context):
         columns["__local"] = f"__let_{taken + len(columns)}"
     left = df.withColumns({columns[v]: compiled(x, s).col for v, x in let.items()} | ({columns["__local"]: s.field(spec["localField"]).col} if "localField" in spec else {}))
     right = ctx.catalog.get(spec["from"]).drop("__raw")
-    inner = Context(ctx.catalog, ctx.run, ctx.strict, [], tuple(columns.values()), {v: c for v, c in columns.items() if v != "__local"})
+    inner = Context(ctx.catalog, ctx.run, ctx.strict, carry=tuple(columns.values()), variables={v: c for v, c in columns.items() if v != "__local"}, warnings=ctx.warnings)
     stages = list(spec["pipeline"])
     if columns:
         values = left.select(*columns.values()).distinct()
@@ -104,6 +127,8 @@ def _pipeline(df: DataFrame, spec: dict, ctx: Context):
                 right = right.where(condition(query, rs))
             if other:
                 stages.insert(0, {"$match": {"$expr": {"$and": other}}})
+        if not equal:
+            ctx.warn(f"$lookup into {name} has no equality: its distinct variables are joined with all of {spec['from']}")
         on = equal[0] if equal else F.lit(True)
         for e in equal[1:]:
             on = on & e
@@ -127,12 +152,12 @@ def _pipeline(df: DataFrame, spec: dict, ctx: Context):
         for c in columns.values():
             on = on & F.col(c).eqNullSafe(F.col(f"{c}_r"))
         joined = left.join(found, on, "left")
-    return joined.select(*[F.col(quoted(c)) for c in df.columns if c != name], F.coalesce("__a", F.array().cast(kind)).alias(name)), ctx.unsorted()
+    return _put(joined.select(*[F.col(quoted(c)) for c in df.columns], F.coalesce("__a", _empty_for(kind)).alias("__as")), name, "__as", ctx), ctx.moved()
 
 
 def graph_lookup(df: DataFrame, spec, ctx: Context):
     """Breadth first over distinct starting values: each step joins the frontier to the collection and drops what has been
-    seen; it ends when the frontier is empty. Each level is written to the checkpoint folder."""
+    seen; it ends when the frontier is empty. Each level is written to the checkpoint folder. A depth of 0 is one join by equality."""
     for k in ("from", "startWith", "connectFromField", "connectToField", "as"):
         if not isinstance(spec, dict) or k not in spec:
             raise ValidationError("MISSING_ARGUMENT", f"$graphLookup needs {k}")
@@ -150,9 +175,14 @@ def graph_lookup(df: DataFrame, spec, ctx: Context):
     start = compiled(spec["startWith"], ctx.scope(df))
     as_text = rank(to.type) != rank(back.type) or rank(to.type) != rank(start.type if not isinstance(start.type, T.ArrayType) else start.type.elementType)
     form = (lambda v: text(v).col) if as_text else (lambda v: v.col)
+    left = df.withColumn("__start", start.col if isinstance(start.type, T.ArrayType) else form(start))
+    if deepest == 0 and not isinstance(start.type, T.ArrayType):
+        doc = F.struct(*[F.col(quoted(c)) for c in visible(right)], *([F.lit(0).cast("long").alias(depth)] if depth else []))
+        groups = right.select(form(to).alias("__to"), doc.alias("__doc")).where("__to is not null").groupBy("__to").agg(F.collect_list("__doc").alias("__a"))
+        joined = left.join(groups, F.col("__start") == F.col("__to"), "left").withColumn("__as", F.coalesce("__a", _empty_for(groups.schema["__a"].dataType)))
+        return _put(joined.drop("__start", "__to", "__a"), name, "__as", ctx), ctx.moved()
     nodes = right.select(form(to).alias("__to"), (back.col if isinstance(back.type, T.ArrayType) else F.array(form(back))).alias("__next"), _document(right).alias("__doc"))
     nodes = cut(nodes.where(F.col("__to").isNotNull()).withColumn("__node", F.monotonically_increasing_id()))
-    left = df.withColumn("__start", start.col if isinstance(start.type, T.ArrayType) else form(start))
     values = left.select("__start").where("__start is not null").distinct()
     frontier = values.select("__start", (F.explode("__start") if isinstance(start.type, T.ArrayType) else F.col("__start")).alias("__at"))
     seen, level = None, 0
@@ -172,5 +202,5 @@ def graph_lookup(df: DataFrame, spec, ctx: Context):
     found = found.select(F.col("__start").alias("__s"), F.transform(F.array_sort("__a", lambda a, b: F.when(a["__depth"] != b["__depth"], F.signum(a["__depth"] - b["__depth"]).cast("int")).otherwise(F.signum(a["__node"] - b["__node"]).cast("int"))), lambda e: e["d"]).alias("__a"))
     kind = found.schema["__a"].dataType
     joined = left.join(found, F.col("__start") == F.col("__s"), "left")
-    return joined.select(*[F.col(quoted(c)) for c in df.columns if c != name], F.coalesce("__a", F.array().cast(kind)).alias(name)), ctx.unsorted()
+    return _put(joined.select(*[F.col(quoted(c)) for c in df.columns], F.coalesce("__a", _empty_for(kind)).alias("__as")), name, "__as", ctx), ctx.moved()
 

@@ -175,18 +175,22 @@ def sort(df: DataFrame, spec, ctx: Context):
     if not isinstance(spec, dict) or not spec:
         raise ValidationError("EMPTY_SORT", "$sort takes a document of fields")
     df = df.drop(*[c for c in df.columns if c.startswith("__sort_")])
-    s, keys, order, copies = ctx.scope(df), [], [], {}
+    s, order, copies = ctx.scope(df), [], {}
     for path, way in spec.items():
         if isinstance(way, bool) or not isinstance(way, (int, float)) or not -1 >= way and not way >= 1:
             raise ValidationError("BAD_DIRECTION", f"{path}: 1 or -1")
         c = s.field(path)
         if not is_null(c.type):
-            keys.append(c.col.asc() if way > 0 else c.col.desc())
             order.append((f"__sort_{len(order)}", way > 0))
             copies[order[-1][0]] = c.col
-    ctx = ctx.sorted(order)
-    # copies of the keys outlive projections, so that the order is known to later groups
-    return (df.orderBy(*keys) if keys and not ctx.carry and not df.isStreaming else df).withColumns(copies), ctx
+    # copies of the keys outlive projections; rows are brought into order only where it shows, not for groups that follow it by its keys
+    return df.withColumns(copies), ctx.sorted(order)
+
+
+def ordered(df: DataFrame, ctx: Context, keys: list[tuple[Column, bool]]) -> tuple[DataFrame, Context]:
+    """The rows with copies of the keys that they are to be in order by."""
+    order = [(f"__sort_{i}", up) for i, (_, up) in enumerate(keys)]
+    return df.withColumns({name: c for (name, _), (c, _) in zip(order, keys, strict=True)}), ctx.sorted(order)
 
 
 def ordering(df: DataFrame, ctx: Context) -> list[Column]:
@@ -212,11 +216,13 @@ def _within(df: DataFrame, ctx: Context, keep) -> DataFrame:
 
 def limit(df: DataFrame, spec, ctx: Context):
     n = _whole(spec, "$limit", 1)
+    df, ctx = ctx.arranged(df)
     return (_within(df, ctx, lambda p: p <= n) if ctx.carry else df.limit(n)), ctx
 
 
 def skip(df: DataFrame, spec, ctx: Context):
     n = _whole(spec, "$skip", 0)
+    df, ctx = ctx.arranged(df)
     return (_within(df, ctx, lambda p: p > n) if ctx.carry else df.offset(n)), ctx
 
 

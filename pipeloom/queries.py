@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,12 +49,24 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: engine(spark, sf_dir).aggregate(collection, pipeline)
 
 
+#: Queries that aren't one pipeline over a table: name -> (function, SQL)
+OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
+
+
+def other(sql: str):
+    def put(f):
+        OTHER[f.__name__] = f, sql
+        return f
+
+    return put
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: _query(n) for n in DEFINED}
+    return {n: _query(n) for n in DEFINED} | {n: f for n, (f, _) in OTHER.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: sql for n, (_, _, sql) in DEFINED.items() if sql}
+    return {n: sql for n, (_, _, sql) in DEFINED.items() if sql} | {n: sql for n, (_, sql) in OTHER.items()}
 
 
 # --- predicates
@@ -404,3 +417,119 @@ define("pipe_supplier_quartiles", "supplier", [
     {"$setWindowFields": {"sortBy": {"s_acctbal": -1, "s_suppkey": 1}, "output": {"place": {"$documentNumber": {}}, "all": {"$count": {}}}}},
     {"$project": {"_id": 0, "s_suppkey": 1, "quarter": {"$ceil": {"$divide": [{"$multiply": ["$place", 4]}, "$all"]}}}},
 ], "SELECT s_suppkey, ceil(row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) * 4::DOUBLE / count(*) OVER ()) AS quarter FROM supplier")
+
+# --- arrays as fields of queries and lookups
+
+_WORDS = [{"$project": {"_id": 0, "p_partkey": 1, "w": {"$split": ["$p_name", " "]}}}]
+_SOME = [{"$addFields": {"some": {"$filter": {"input": "$w", "as": "x", "cond": {"$eq": ["$$x", "hot"]}}}}}]
+
+
+def _array(name: str, query: dict, sql: str, before: list | None = None) -> None:
+    define(f"match_{name}", "part", [*_WORDS, *(before or []), {"$match": query}, {"$project": {"p_partkey": 1}}], f"SELECT p_partkey FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part) WHERE {sql}")
+
+
+_array("empty_array", {"some": []}, "NOT list_contains(w, 'hot')", _SOME)
+_array("ne_empty_array", {"some": {"$ne": []}}, "list_contains(w, 'hot')", _SOME)
+_array("array_has", {"w": "hot"}, "list_contains(w, 'hot')")
+_array("array_has_not", {"w": {"$ne": "hot"}}, "NOT list_contains(w, 'hot')")
+_array("array_in", {"w": {"$in": ["hot", "small"]}}, "list_has_any(w, ['hot', 'small'])")
+_array("array_all", {"w": {"$all": ["hot"]}}, "list_has_all(w, ['hot'])")
+_array("array_size", {"w": {"$size": 2}}, "len(w) = 2")
+_array("elem_match", {"w": {"$elemMatch": {"$regex": "^s", "$ne": "small"}}}, "len(list_filter(w, lambda x: starts_with(x, 's') AND x <> 'small')) > 0")
+_array("array_order", {"w": {"$gt": "s"}}, "len(list_filter(w, lambda x: x > 's')) > 0")
+_KEYS = [{"$match": {"c_custkey": {"$lte": 200}}}, {"$project": {"_id": 0, "c_custkey": 1, "ks": ["$c_nationkey", {"$add": ["$c_nationkey", 1]}, "$c_nationkey"]}}, {"$lookup": {"from": "supplier", "localField": "ks", "foreignField": "s_nationkey", "as": "m"}}]
+_MET = "customer LEFT JOIN supplier ON s_nationkey IN (c_nationkey, c_nationkey + 1) WHERE c_custkey <= 200"
+define("lookup_array", "customer", [*_KEYS, {"$project": {"c_custkey": 1, "keys": {"$sortArray": {"input": "$m.s_suppkey", "sortBy": 1}}}}], f"SELECT c_custkey, coalesce(list_sort(list(s_suppkey) FILTER (WHERE s_suppkey IS NOT NULL)), []) AS keys FROM {_MET} GROUP BY 1")
+define("lookup_array_unwind", "customer", [*_KEYS, {"$unwind": "$m"}, {"$group": {"_id": "$m.s_suppkey", "n": {"$sum": 1}}}], f"SELECT s_suppkey AS _id, count(*) AS n FROM {_MET} AND s_suppkey IS NOT NULL GROUP BY 1")
+define("lookup_array_unwind_preserve", "customer", [*_KEYS, {"$unwind": {"path": "$m", "preserveNullAndEmptyArrays": True}}, {"$project": {"c_custkey": 1, "k": "$m.s_suppkey"}}], f"SELECT c_custkey, s_suppkey AS k FROM {_MET}")
+define("lookup_array_size", "customer", [*_KEYS, {"$project": {"c_custkey": 1, "n": {"$size": "$m"}}}], f"SELECT c_custkey, count(s_suppkey)::INT AS n FROM {_MET} GROUP BY 1")
+define("lookup_nested_name", "nation", [{"$lookup": {"from": "region", "localField": "n_regionkey", "foreignField": "r_regionkey", "as": "found.region"}}, {"$project": {"_id": 0, "n_nationkey": 1, "name": {"$first": "$found.region.r_name"}}}], "SELECT n_nationkey, r_name AS name FROM nation JOIN region ON n_regionkey = r_regionkey")
+
+# --- frames of time and of the calendar, and nulls in arrays
+
+_DATE = {"o_orderdate": 1}
+for _unit, _n in (("month", 3), ("quarter", 2), ("year", 1)):
+    _window(f"max_range_{_unit}s", {"$max": "$o_totalprice", "window": {"range": [-_n, "current"], "unit": _unit}}, f"max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL {_n * {'month': 1, 'quarter': 3, 'year': 12}[_unit]} MONTH PRECEDING AND CURRENT ROW)", sort=_DATE)
+_window("sum_range_months_ahead", {"$sum": "$o_totalprice", "window": {"range": [0, 6], "unit": "month"}}, "round_even(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN CURRENT ROW AND INTERVAL 6 MONTH FOLLOWING), 2)", sort=_DATE, rounded=True)
+_window("count_range_weeks", {"$count": {}, "window": {"range": [-8, 8], "unit": "week"}}, "count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL 56 DAY PRECEDING AND INTERVAL 56 DAY FOLLOWING)", sort=_DATE)
+for _unit, _n, _sql in (("millisecond", 90_000_000, "90000 SECOND"), ("hour", 30, "30 HOUR")):
+    define(f"window_range_{_unit}s", "events", [{"$match": {"ts": {"$ne": None}}}, {"$setWindowFields": {"partitionBy": "$user_id", "sortBy": {"ts": 1}, "output": {"n": {"$count": {}, "window": {"range": [-_n, "current"], "unit": _unit}}}}}, {"$project": {"_id": 0, "event_id": 1, "n": 1}}], f"SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL {_sql} PRECEDING AND CURRENT ROW) AS n FROM events WHERE ts IS NOT NULL")
+_NULLED = [{"$project": {"_id": 0, "o_orderkey": 1, "o_custkey": 1, "o_orderdate": 1, "v": {"$cond": [{"$gt": ["$o_totalprice", 200000]}, "$o_orderstatus", None]}}}]
+_NULLED_SQL = "(SELECT *, CASE WHEN o_totalprice > 200000 THEN o_orderstatus END AS v FROM orders)"
+define("acc_add_to_set_null", "orders", [*_NULLED, {"$group": {"_id": "$o_custkey", "set": {"$addToSet": "$v"}}}, {"$project": {"n": {"$size": "$set"}}}], f"SELECT o_custkey AS _id, (count(DISTINCT v) + max(CASE WHEN v IS NULL THEN 1 ELSE 0 END))::INT AS n FROM {_NULLED_SQL} GROUP BY 1")
+define("acc_push_null", "orders", [*_NULLED, {"$sort": {"o_orderkey": 1}}, {"$group": {"_id": "$o_custkey", "all": {"$push": "$v"}}}], f"SELECT o_custkey AS _id, list(v ORDER BY o_orderkey) AS \"all\" FROM {_NULLED_SQL} GROUP BY 1")
+define("window_push_null", "orders", [*_NULLED, {"$setWindowFields": {"partitionBy": "$o_custkey", "sortBy": {"o_orderkey": 1}, "output": {"seen": {"$push": "$v", "window": {"documents": [-2, "current"]}}, "set": {"$addToSet": "$v"}}}}, {"$project": {"o_orderkey": 1, "seen": 1, "n": {"$size": "$set"}}}], f"SELECT o_orderkey, list(v) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS seen, (SELECT (count(DISTINCT v) + max(CASE WHEN v IS NULL THEN 1 ELSE 0 END))::INT FROM {_NULLED_SQL} i WHERE i.o_custkey = o.o_custkey) AS n FROM {_NULLED_SQL} o")
+define("match_type_or_null", "events", [{"$match": {"value": {"$type": ["string", "null"]}}}, {"$count": "n"}], "SELECT count(*) AS n FROM events WHERE value IS NULL HAVING count(*) > 0")
+define("expr_substr_bytes", "part", [{"$project": {"_id": 0, "p_partkey": 1, "v": {"$substrBytes": [{"$concat": ["é", "$p_name"]}, 2, 4]}, "at": {"$indexOfBytes": [{"$concat": ["é", "$p_name"]}, " "]}}}], "SELECT p_partkey, substr(p_name, 1, 4) AS v, (CASE WHEN contains(p_name, ' ') THEN strpos(p_name, ' ') + 1 ELSE -1 END)::INT AS at FROM part")
+define("facet_mixed_order", "orders", [{"$facet": {"top": [{"$sort": {"o_orderpriority": 1, "o_orderdate": -1, "o_orderkey": 1}}, {"$limit": 4}, {"$project": {"_id": 0, "o_orderkey": 1}}]}}, {"$project": {"keys": "$top.o_orderkey"}}], "SELECT list(o_orderkey ORDER BY o_orderpriority, o_orderdate DESC, o_orderkey) AS keys FROM (SELECT * FROM orders ORDER BY o_orderpriority, o_orderdate DESC, o_orderkey LIMIT 4)")
+define("bucket_auto_ties", "lineitem", [{"$bucketAuto": {"groupBy": "$l_quantity", "buckets": 4}}, {"$project": {"_id": 0, "lo": "$_id.min", "count": 1}}], "WITH v AS (SELECT l_quantity AS q, count(*) AS n FROM lineitem GROUP BY 1), r AS (SELECT q, n, sum(n) OVER (ORDER BY q) - n AS before, sum(n) OVER () AS total FROM v) SELECT min(q) AS lo, sum(n)::BIGINT AS count FROM r GROUP BY least(floor(before / round(total / 4.0)), 3)")
+define("match_expr_literal_first", "orders", [{"$match": {"$expr": {"$lt": [300000, "$o_totalprice"]}}}, {"$project": {"_id": 0, "o_orderkey": 1}}], "SELECT o_orderkey FROM orders WHERE o_totalprice > 300000")
+
+# --- sinks, streams, stages of one's own
+
+
+def _name(kind: str) -> str:
+    return f"{kind}_{uuid.uuid4().hex}"
+
+
+_SMALL = [{"$match": {"c_custkey": {"$lte": 40}}}, {"$project": {"_id": 0, "c_custkey": 1, "c_name": 1}}]
+_NEWER = [{"$match": {"c_custkey": {"$gt": 20, "$lte": 60}}}, {"$project": {"_id": 0, "c_custkey": 1, "c_name": {"$toLower": "$c_name"}}}]
+
+
+def _merged(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    e, name = engine(spark, sf_dir), _name("merged")
+    e.aggregate("customer", [*_SMALL, {"$out": name}])
+    e.aggregate("customer", [*_NEWER, {"$merge": {"into": name, "on": "c_custkey", **how}}])
+    return spark.table(name)
+
+
+@other("SELECT c_custkey, c_name FROM customer WHERE c_custkey <= 40")
+def out_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """$out, and the table that it wrote; written twice, since it replaces."""
+    name = _name("out")
+    for _ in range(2):
+        engine(spark, sf_dir).aggregate("customer", [*_SMALL, {"$out": name}])
+    return spark.table(name)
+
+
+@other("SELECT c_custkey, CASE WHEN c_custkey <= 20 THEN c_name ELSE lower(c_name) END AS c_name FROM customer WHERE c_custkey <= 60")
+def merge_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir)
+
+
+@other("SELECT c_custkey, CASE WHEN c_custkey <= 20 THEN c_name ELSE lower(c_name) END AS c_name FROM customer WHERE c_custkey <= 40")
+def merge_replace_discard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir, whenMatched="replace", whenNotMatched="discard")
+
+
+@other("SELECT c_custkey, CASE WHEN c_custkey <= 40 THEN c_name ELSE lower(c_name) END AS c_name FROM customer WHERE c_custkey <= 60")
+def merge_keep_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir, whenMatched="keepExisting")
+
+
+@other("SELECT event_type AS _id, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+def windowed_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups over windows of event time, as a stream has them; here over a table."""
+    from .streaming.pipelines import windowed_group as grouped
+
+    events = engine(spark, sf_dir).catalog.get("events").where("ts is not null")
+    return grouped(events.withColumn("ts", events["ts"].cast("timestamp")), "ts", "1 day", {"_id": "$event_type", "n": {"$sum": 1}}).selectExpr("_id", "cast(start as timestamp_ntz) as start", "n")
+
+
+@other("SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders WHERE o_totalprice > 300000")
+def stream_stateless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stateless stages over a stream of files, into a table."""
+    from .sources.catalog import stream_files
+    from .streaming.pipelines import run_once, stream
+
+    e = engine(spark, sf_dir)
+    frame = stream_files(spark, f"{sf_dir}/orders.parquet", e.catalog.get("orders").schema)
+    return run_once(stream(e, frame, [{"$match": {"o_totalprice": {"$gt": 300000}}}, {"$project": {"_id": 0, "o_orderkey": 1, "twice": {"$multiply": ["$o_totalprice", 2]}}}]), _name("stream"))
+
+
+@other("SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 7")
+def own_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage of one's own, made of others."""
+    e = engine(spark, sf_dir)
+    e.register_stage("$dearest", lambda df, n, ctx: ctx.run(df, [{"$sort": {"o_totalprice": -1, "o_orderkey": 1}}, {"$limit": n}], ctx))
+    return e.aggregate("orders", [{"$dearest": 7}, {"$project": {"_id": 0, "o_orderkey": 1}}])

@@ -56,3 +56,8 @@ def read_documents(spark: SparkSession, path: str, schema=None) -> DataFrame:
     lines = spark.read.text(path)
     schema = schema or spark.read.json(path).schema
     return lines.select(F.from_json("value", schema).alias("d"), F.try_parse_json("value").alias("__raw")).select("d.*", "__raw")
+
+
+def stream_files(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A stream of the Parquet files at a path: a folder, a file, or files by a pattern."""
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, a path may be that of a file

@@ -36,11 +36,26 @@ def out(df: DataFrame, spec, ctx):
 
 
 def _replace(spark, df: DataFrame, name: str) -> None:
-    spare = f"{name}__new"
+    """Writes the rows to a spare table and then gives it the name. The old table keeps its rows under another name until the new one is in place,
+    so a crash at any point loses neither; the next run begins by putting back what a crash left (recover)."""
+    spare, old = f"{name}__new", f"{name}__old"
+    recover(spark, name)
     spark.sql(f"DROP TABLE IF EXISTS {spare}")
     df.write.saveAsTable(spare)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    if spark.catalog.tableExists(name):
+        spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
     spark.sql(f"ALTER TABLE {spare} RENAME TO {name}")
+    spark.sql(f"DROP TABLE IF EXISTS {old}")
+
+
+def recover(spark, name: str) -> None:
+    """Puts the old table back if a crash left it without its name; else drops what is left of it."""
+    old = f"{name}__old"
+    if spark.catalog.tableExists(old):
+        if spark.catalog.tableExists(name):
+            spark.sql(f"DROP TABLE {old}")
+        else:
+            spark.sql(f"ALTER TABLE {old} RENAME TO {name}")
 
 
 #: What may be done with documents that are there, and with those that aren't (fixed values).
@@ -61,6 +76,7 @@ def merge(df: DataFrame, spec, ctx):
     if matched not in MATCHED or new not in NOT_MATCHED:
         raise ValidationError("BAD_MODE", f"$merge doesn't know {matched!r} with {new!r}")
     spark, df = df.sparkSession, bare(df)
+    recover(spark, name)
     known = name in ctx.catalog.frames or spark.catalog.tableExists(name)
     if not known:
         if new == "fail" and df.limit(1).count():

@@ -31,3 +31,11 @@ def windowed_group(frame: DataFrame, time: str, width: str, spec: dict, late: st
     keys = [s.field(key[1:]).col.alias("_id")] if isinstance(key, str) else []
     out = marked.groupBy(F.window(time, width, slide or width), *keys).agg(*[accumulator(k, a, s).alias(k) for k, a in spec.items() if k != "_id"])
     return out.withColumns({"start": F.col("window.start"), "end": F.col("window.end")}).drop("window")
+
+
+def run_once(frame: DataFrame, name: str) -> DataFrame:
+    """Runs what a stream has until now, into the table `name`, and returns that. Where the stream got to is kept in the checkpoint folder."""
+    from ..plans.durable import folder
+
+    frame.writeStream.option("checkpointLocation", folder(frame.sparkSession)).trigger(availableNow=True).toTable(name).awaitTermination()
+    return frame.sparkSession.table(name)

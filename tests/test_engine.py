@@ -179,4 +179,154 @@ def test_stream_and_command_line(engine, spark, tmp_path, capsys):
     (tmp_path / "p.json").write_text('{"pipelines": [{"name": "n", "collection": "t", "pipeline": [{"$match": {"a": 5}}]}]}')
     assert main(["-t", f"t={tmp_path}/in/a.json", str(tmp_path / "p.json")]) == 0
     assert '{"a":5}' in capsys.readouterr().out
-    assert main([]) == 1 and main(["-t", f"t={tmp_path}/in/a.json", "-c", "t", "--inline", '[{"$nope": 1}]']) == 2
+    table = ["-t", f"t={tmp_path}/in/a.json", "-c", "t"]
+    assert main([*table, "-i", "-p", "--verbose", "--pipeline", '{"pipeline": [{"$match": {"a": 5}}, {"$setWindowFields": {"output": {"n": {"$count": {}}}}}]}']) == 0
+    said = capsys.readouterr()
+    assert '"a": 5' in said.out and "one task" in said.err
+    assert main(["-v"]) == 0 and "pipeloom" in capsys.readouterr().out and main(["--help"]) == 0 and main(["--nope"]) == 1
+    assert main([*table, "--pipeline", '[{"$match": {"a": {"$gte": 1}}}, {"$project": {"x": {"$convert": {"input": "$a", "to": "int"}}}}]', "-o", str(tmp_path / "o.json")]) == 0 and len((tmp_path / "o.json").read_text().splitlines()) == 2
+    assert main([*table, "--strict", "--pipeline", '[{"$bucket": {"groupBy": "$a", "boundaries": [0, 2]}}]']) == 3
+    assert main([*table, "--pipeline", '[{"$bucket": {"groupBy": "$a", "boundaries": [0, 2]}}]']) == 0
+    assert main([]) == 1 and main(["-t", f"t={tmp_path}/in/a.json", "-c", "t", "--pipeline", '[{"$nope": 1}]']) == 2
+
+
+def plan(engine, coll, *stages, mode="executedPlan"):
+    return getattr(engine.aggregate(coll, list(stages))._jdf.queryExecution(), mode)().toString()
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("stored") / "t")
+    spark.range(1000).selectExpr("id as _id", "id % 7 as g", "cast(id as double) as x", "concat('s', id) as s", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(id as int)) as at", "if(id % 5 = 0, null, id) as n").write.parquet(path)
+    catalog = Catalog(spark)
+    catalog.load("t", path)
+    return Engine(spark, catalog)
+
+
+@pytest.mark.parametrize(
+    ("query", "pushed"),
+    [
+        ({"g": 3}, "EqualTo(g,3)"), ({"x": {"$gt": 5}}, "GreaterThan(x,5.0)"), ({"x": {"$gte": 5, "$lt": 9}}, "LessThan(x,9.0)"), ({"s": {"$in": ["s1", "s2"]}}, "In(s, [s1,s2])"),
+        ({"$and": [{"g": 1}, {"x": {"$lte": 2}}]}, "LessThanOrEqual(x,2.0)"), ({"$or": [{"g": 1}, {"x": {"$gt": 900}}]}, "Or(EqualTo(g,1),GreaterThan(x,900.0))"), ({"g": {"$ne": 3}}, "Not(EqualNullSafe(g,3))"),
+        ({"n": {"$nin": [3, 4]}}, "Or(Not(In(n, [3,4])),IsNull(n))"), ({"n": None}, "IsNull(n)"), ({"at": {"$gte": {"$date": "2024-02-01T00:00:00Z"}}}, "GreaterThanOrEqual(at,2024-02-01"), ({"at": {"$lt": "2024-02-01"}}, "LessThan(at,2024-02-01"),
+        ({"$expr": {"$and": [{"$gt": ["$x", 5]}, {"$lt": [3, "$g"]}]}}, "GreaterThan(x,5.0)"), ({"$expr": {"$lt": ["$n", 9]}}, "Or(LessThan(n,9),IsNull(n))"),
+    ],
+)
+def test_filters_reach_the_scan(stored, query, pushed):
+    text = plan(stored, "t", {"$match": query})
+    assert pushed in text.replace("PushedFilters", "").split("ReadSchema")[0] or pushed in text
+
+
+def test_filters_and_null(stored):
+    n = lambda q: rows(stored, "t", {"$match": q}, {"$count": "n"})[0]["n"]
+    assert n({"n": {"$ne": 1}}) == 999 and n({"n": {"$nin": [1, 2]}}) == 998 and n({"n": {"$nin": [1, None]}}) == 799 and n({"n": {"$in": [1, None]}}) == 201
+    assert n({"n": {"$not": {"$gt": 10}}}) == 208 and n({"$nor": [{"n": {"$gt": 10}}]}) == 208 and n({"$nor": [{"$and": [{"n": {"$gt": 10}}, {"g": {"$gte": 0}}]}]}) == 208
+    assert n({"$expr": {"$lt": ["$n", 10]}}) == 208 and n({"$expr": {"$not": [{"$lt": ["$n", 10]}]}}) == 792 and n({"n": {"$type": ["long", "null"]}}) == 1000
+
+
+def test_no_sort_below_a_group(stored):
+    for acc in ("$first", "$last", "$push"):
+        assert "rangepartitioning" not in plan(stored, "t", {"$sort": {"x": -1}}, {"$group": {"_id": "$g", "v": {acc: "$s"}}})
+    assert "TakeOrderedAndProject" in plan(stored, "t", {"$sort": {"x": -1}}, {"$limit": 3})
+    assert [r["_id"] for r in rows(stored, "t", {"$sort": {"x": -1}}, {"$project": {"g": 1, "_id": 1}}, {"$match": {"_id": {"$lt": 4}}})] == [3, 2, 1, 0]
+
+
+def test_order_outlives_a_lookup(stored):
+    got = rows(stored, "t", {"$match": {"_id": {"$lt": 9}}}, {"$sort": {"x": -1}}, {"$lookup": {"from": "t", "localField": "g", "foreignField": "_id", "as": "m"}}, {"$project": {"_id": 1}})
+    assert [r["_id"] for r in got] == [*range(8, -1, -1)]
+
+
+def test_bucket_auto_is_dealt_by_range(stored):
+    text = plan(stored, "t", {"$bucketAuto": {"groupBy": "$s", "buckets": 4}}, mode="optimizedPlan")
+    assert "Window [sum" not in text or "__range" in text
+    got = rows(stored, "t", {"$bucketAuto": {"groupBy": "$n", "buckets": 4}})
+    assert [r["count"] for r in got] == [250, 250, 250, 250] and got[0]["_id"]["min"] is None and sum(r["count"] for r in got) == 1000
+
+
+def test_graph_lookup_of_depth_0_is_a_join(stored):
+    text = plan(stored, "t", {"$graphLookup": {"from": "t", "startWith": "$g", "connectFromField": "g", "connectToField": "_id", "as": "m", "maxDepth": 0}})
+    assert "Scan ExistingRDD" not in text and "checkpoint" not in text.lower()
+
+
+def test_array_lookups_by_join_and_count(spark):
+    catalog = Catalog(spark)
+    catalog.register("l", spark.createDataFrame([(1, ["x", "y", "x"]), (2, ["z"]), (3, None), (4, [])], "_id int, k array<string>"))
+    catalog.register("f", spark.createDataFrame([("x", 1), ("x", 1), ("y", 2), (None, 9)], "k string, v int"))
+    e, look = Engine(spark, catalog), {"$lookup": {"from": "f", "localField": "k", "foreignField": "k", "as": "m"}}
+    joined = rows(e, "l", look, {"$unwind": "$m"})
+    assert sorted((r["_id"], r["m"]["v"]) for r in joined) == [(1, 1), (1, 1), (1, 2), (3, 9)]
+    kept = rows(e, "l", look, {"$unwind": {"path": "$m", "preserveNullAndEmptyArrays": True}})
+    assert sorted((r["_id"], r["m"] and r["m"]["v"]) for r in kept if r["_id"] in (2, 3)) == [(2, None), (3, 9)] and len(kept) == 6
+    assert {r["_id"]: r["n"] for r in rows(e, "l", look, {"$project": {"n": {"$size": "$m"}}})} == {1: 3, 2: 0, 3: 1, 4: 0}
+    (r,) = rows(e, "l", {"$match": {"_id": 1}}, {"$lookup": {"from": "f", "localField": "k", "foreignField": "k", "as": "a.b"}})
+    assert len(r["a"]["b"]) == 3
+
+
+def test_frames_of_the_calendar(spark):
+    t = spark.sql("select * from values (1, timestamp'2024-01-31 00:00:00', 1), (1, timestamp'2024-02-29 00:00:00', 2), (1, timestamp'2024-03-30 12:00:00', null), (1, timestamp'2024-03-30 12:00:00.5', 8) as t(g, at, v)")
+    e = Engine(spark, {"w": t})
+
+    def over(how, window, sort=1):
+        got = rows(e, "w", {"$setWindowFields": {"partitionBy": "$g", "sortBy": {"at": sort}, "output": {"o": how | {"window": window}}}})
+        return [r["o"] for r in sorted(got, key=lambda r: r["at"])]
+
+    assert over({"$sum": "$v"}, {"range": [-1, "current"], "unit": "month"}) == [1, 3, 0, 8] and over({"$count": {}}, {"range": [-1, 0], "unit": "quarter"}) == [1, 2, 3, 4]
+    assert over({"$push": "$v"}, {"range": ["unbounded", "current"], "unit": "year"})[3] == [1, 2, None, 8] and over({"$sum": "$v"}, {"range": [0, 1], "unit": "month"}) == [3, 2, 8, 8]
+    assert over({"$sum": "$v"}, {"range": [-1, "current"], "unit": "month"}, -1)[0] == 3
+    assert over({"$count": {}}, {"range": [-500, "current"], "unit": "millisecond"}) == [1, 1, 1, 2] and over({"$count": {}}, {"range": [-499, "current"], "unit": "millisecond"}) == [1, 1, 1, 1]
+    with pytest.raises(ValidationError):
+        over({"$count": {}}, {"range": [-1, 0], "unit": "moon"})
+
+
+def test_null_in_sets_and_windows(spark):
+    e = Engine(spark, {"w": spark.createDataFrame([(1, None), (1, 2), (1, None), (2, 3)], "g int, v int")})
+    assert {r["_id"]: r["s"] for r in rows(e, "w", {"$group": {"_id": "$g", "s": {"$addToSet": "$v"}}})} == {1: [None, 2], 2: [3]}
+    got = rows(e, "w", {"$setWindowFields": {"partitionBy": "$g", "output": {"p": {"$push": "$v"}, "s": {"$addToSet": "$v"}}}})
+    assert all(sorted(r["p"], key=str) == ([2, None, None] if r["g"] == 1 else [3]) and r["s"] == ([None, 2] if r["g"] == 1 else [3]) for r in got)
+
+
+def test_bytes_and_characters(engine):
+    assert value(engine, {"$substrBytes": ["éab", 2, 2]}) == "ab" and value(engine, {"$substrCP": ["éab", 1, 2]}) == "ab"
+    assert value(engine, {"$indexOfBytes": ["éab", "b"]}) == 3 and value(engine, {"$indexOfCP": ["éab", "b"]}) == 2
+    assert value(engine, {"$indexOfBytes": ["éabéa", "é", 1]}) == 4 and value(engine, {"$indexOfBytes": ["abc", "x"]}) == -1 and value(engine, {"$indexOfBytes": ["abcb", "b", 2, 3]}) == -1
+
+
+def test_a_crash_between_renames_loses_nothing(spark):
+    from pipeloom.sources import sinks
+
+    for t in ("kept", "kept__old", "kept__new"):
+        spark.sql(f"DROP TABLE IF EXISTS {t}")
+    spark.range(3).write.saveAsTable("kept__old")  # as after a crash before the new table got its name
+    e = Engine(spark, {"src": spark.range(5)})
+    rows(e, "src", {"$merge": {"into": "kept", "on": "id"}})
+    assert spark.table("kept").count() == 5 and not spark.catalog.tableExists("kept__old")
+    spark.range(9).write.saveAsTable("kept__old")  # as after a crash before the old one was dropped
+    sinks.recover(spark, "kept")
+    assert spark.table("kept").count() == 5 and not spark.catalog.tableExists("kept__old")
+
+
+def test_warnings(stored):
+    got = stored.compile("t", [{"$facet": {"a": [{"$limit": 1}]}}])
+    assert any("facet" in w for w in got.warnings) and stored.compile("t", [{"$limit": 1}]).warnings == []
+    assert stored.compile("t", [{"$setWindowFields": {"output": {"n": {"$count": {}}}}}]).warnings
+    assert stored.compile("t", [{"$lookup": {"from": "t", "let": {"k": "$g"}, "pipeline": [{"$match": {"$expr": {"$lt": ["$_id", "$$k"]}}}], "as": "m"}}]).warnings
+
+
+def test_file_formats(spark, tmp_path):
+    t = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    for form in ("parquet", "orc", "json", "csv"):
+        t.write.format(form).option("header", True).save(str(tmp_path / f"t.{form}"))
+        catalog = Catalog(spark)
+        catalog.load("t", str(tmp_path / f"t.{form}"), **({"inferSchema": True} if form == "csv" else {}))
+        assert rows(Engine(spark, catalog), "t", {"$match": {"k": 2}}, {"$project": {"_id": 0, "v": 1}}) == [{"v": "b"}]
+
+
+def test_groups_of_a_stream(spark, tmp_path):
+    from pipeloom.streaming.pipelines import windowed_group
+
+    (tmp_path / "a.json").write_text("\n".join(f'{{"at": "2024-01-01T00:0{m}:00Z", "k": "{k}"}}' for m, k in ((0, "x"), (1, "x"), (6, "y"), (9, "x"))))
+    frame = spark.readStream.schema("at timestamp, k string").json(str(tmp_path))
+    q = windowed_group(frame, "at", "5 minutes", {"_id": "$k", "n": {"$sum": 1}}).writeStream.format("memory").outputMode("complete").queryName("groups").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r["_id"], r["start"].minute, r["n"]) for r in spark.table("groups").collect()) == [("x", 0, 2), ("x", 5, 1), ("y", 5, 1)]
