@@ -8,8 +8,10 @@ after another. The document that doesn't fit is cut there; its rest begins the n
 the unused document with the smallest id is next. The shard's last, unfilled window is cut into sequences whose lengths are
 powers of two, which need no padding.
 
-A document is its ids and one end id after them; null and empty texts are the end id alone. Rows with equal ids of null or
-repeated keys are documents of their own. An empty table gives no rows.
+A document is its ids and one end id after them; null and empty texts are the end id alone. Documents of over SEGMENT ids are dealt to shards
+in segments of as many ids, whole windows each, so that no task holds a giant. Rows with equal ids of null or
+repeated keys are documents of their own. Keys are whole numbers. Only key and text are read, so other columns' names don't matter. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .vocab import ChunkMemory, take_runs, word_level
 
 #: Tokens of a shard, about; a shard is handled in one task.
 SHARD_TOKENS = 500_000
+#: Ids of a segment of a long document, a multiple of all usual window sizes.
+SEGMENT = 1 << 16
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
 
@@ -71,19 +75,31 @@ def vectors(ids: np.ndarray, each: np.ndarray, idf: np.ndarray, mean: float) ->
     return topics.sums(doc, term, (idf[term] * saturated(tf, each[doc], mean)).astype(np.float32), len(each))
 
 
+def segments(each: np.ndarray, most: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, start and length of each segment of documents with so many ids."""
+    n = -(-each // most)
+    of = np.repeat(np.arange(len(each)), n)
+    start = (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)) * most
+    return of, start, np.minimum(most, each[of] - start)
+
+
 def token_table(docs: DataFrame, path: str, end_id: int, key: str, text: str, tree: Broadcast | None = None) -> DataFrame:
-    """id, ids (little-endian unsigned 16-bit integers), n (how many) and cell (of the tree) of each document, written once and
-    read again."""
+    """id, start, doc_tokens (of the whole document), ids (little-endian unsigned 16-bit integers), n (how many) and cell (of the tree) of each segment,
+    written once and read again."""
     tune(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, each = tokenised(*flat(b.column(1)), path, end_id)
+            ids, whole = tokenised(*flat(b.column(1)), path, end_id)
+            of, start, each = segments(whole)
             raw, ends = ids.astype("<u2").tobytes(), np.concatenate([[0], np.cumsum(each)]).tolist()
             cell = tree.value.cells(vectors(ids, each, tree.value.idf, tree.value.mean)) if tree else np.zeros(len(each), np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([raw[2 * s : 2 * e] for s, e in zip(ends, ends[1:])], pa.binary()), pa.array(each.astype(np.int64)), pa.array(cell)], names=["id", "ids", "n", "cell"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(of)), pa.array(start), pa.array(whole[of].astype(np.int64)), pa.array([raw[2 * s : 2 * e] for s, e in zip(ends, ends[1:])], pa.binary()), pa.array(each.astype(np.int64)), pa.array(cell)],
+                names=["id", "start", "doc_tokens", "ids", "n", "cell"],
+            )
 
-    return kept_table(docs.select(whole_key(docs, key).alias("id"), F.col(text).alias("body")).mapInArrow(encode, "id long, ids binary, n long, cell long"))
+    return kept_table(docs.select(whole_key(docs, key).alias("id"), F.col(text).alias("body")).mapInArrow(encode, "id long, start long, doc_tokens long, ids binary, n long, cell long"))
 
 
 def content_tree(docs: DataFrame, path: str, end_id: int, key: str, text: str, vocabulary: int, shard_tokens: int) -> topics.Tree:
@@ -222,10 +238,10 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", si
     # a shard is full by tokens or by rows; some cells for each shard are gathered and broadcast
     load = {r["cell"]: (r["tokens"] + r["n"] * mean) / 2 / shard_tokens for r in table.groupBy("cell").agg(F.sum("n").alias("tokens"), F.count("*").alias("n")).collect()}
     places = spark.createDataFrame(topics.deal(load), "cell long, first long, parts long")
-    dealt = table.join(F.broadcast(places), "cell").select("id", "ids", (F.col("first") + F.pmod(F.xxhash64("id", "ids", F.lit(5)), F.col("parts"))).alias("shard"))
+    dealt = table.join(F.broadcast(places), "cell").select("id", "start", "doc_tokens", "ids", (F.col("first") + F.pmod(F.xxhash64("id", "start", "ids", F.lit(5)), F.col("parts"))).alias("shard"))
 
     def one(group: pa.Table) -> pa.Table:
-        group = group.take(pa.compute.sort_indices(group, [("id", "ascending"), ("ids", "ascending")]))
+        group = group.take(pa.compute.sort_indices(group, [("id", "ascending"), ("start", "ascending"), ("ids", "ascending")]))
         shard = group.column("shard")[0].as_py()
         ids = np.frombuffer(b"".join(group.column("ids").to_pylist()), "<u2").astype(np.int64)
         each = np.array([len(x) // 2 for x in group.column("ids").to_pylist()], np.int64)
@@ -234,10 +250,11 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", si
         k, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces))
         raw = ids.astype("<u4").tobytes()
         at = (begin[k] + start).tolist()
+        first, total = (group.column(c).to_numpy()[k] for c in ("start", "doc_tokens"))
         return pa.table({
-            "id": group.column("id").combine_chunks().take(pa.array(k)), "start": start, "length": length,
+            "id": group.column("id").combine_chunks().take(pa.array(k)), "start": first + start, "length": length,
             "ids": pa.array([raw[4 * s : 4 * (s + m)] for s, m in zip(at, length.tolist())], pa.binary()),
-            "doc_tokens": each[k], "sequence_id": (shard << 32) + sequence, "offset": offset,
+            "doc_tokens": total, "sequence_id": (shard << 32) + sequence, "offset": offset,
         })
 
     found = dealt.groupBy("shard").applyInArrow(one, "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -378,6 +378,49 @@ def test_packing(docs, empty):
     assert packing.pack(docs, path).groupBy("doc_tokens").count().count() > 0 and packing.pack(empty, path).count() == 0
 
 
+def test_packing_ranks_by_bm25(monkeypatch):
+    """Which documents follow each other, by plain loops."""
+    r = np.random.default_rng(6)
+    docs = [np.append(r.integers(2, 40, r.integers(3, 30)), 1) for _ in range(60)]
+    each, idf, mean, size = np.array([len(d) for d in docs]), r.random(41).astype(np.float32) + 0.1, 15.0, 64
+    got = [k for k, at, *_ in packing.fill_windows(np.concatenate(docs), each, idf, mean, size) if not at]
+    counts = [{t: int((d == t).sum()) for t in set(d.tolist())} for d in docs]
+    weight = lambda k, t: idf[t] * counts[k][t] * 2.2 / (counts[k][t] + 1.2 * (0.25 + 0.75 * each[k] / mean))
+    unused, want, room, seed = set(range(60)), [], 0, None
+    while unused:
+        if not room:
+            seed, room = seed if seed is not None else min(unused), size
+        if seed in unused:
+            k = seed
+        else:
+            score = {j: sum(weight(j, t) for t in counts[seed] if t in counts[j]) for j in unused}
+            best = max(score.values())
+            k = min(j for j in unused if score[j] >= best - 1e-4) if best > 0 else min(unused)
+        unused.remove(k)
+        want.append(k)
+        left = each[k]
+        while left >= room:  # what doesn't fit begins the next window, as its seed
+            left, room = left - room, size
+            seed = k if left else None
+            if not left:
+                room = 0
+                break
+        room = room - left if room else 0
+    assert got == want
+
+
+def test_giants_are_packed_in_segments(spark, monkeypatch):
+    of, start, each = packing.segments(np.array([5, 300, 1]), 128)
+    assert (of.tolist(), start.tolist(), each.tolist()) == ([0, 1, 1, 1, 2], [0, 0, 128, 256, 0], [5, 128, 128, 44, 1])
+    path, text = default_path("word_bpe_49k.json"), " ".join(f"w{i % 977}" for i in range(60_000))
+    rows = spark.createDataFrame([(1, text), (2, "a b c"), (1, text)], "doc_id long, text string")
+    got = packing.pack(rows, path, shard_tokens=20_000).collect()
+    want = np.array(library(path).encode(text, add_special_tokens=False).ids + [1], "<u4")
+    assert len(want) > 2 * packing.SEGMENT and len({r["sequence_id"] >> 32 for r in got}) > 1
+    mine = sorted((r["start"], r["length"], zlib.crc32(r["ids"])) for r in got if r["doc_id"] == 1)
+    assert sum(n for _, n, _ in mine) == 2 * len(want) and all(c == zlib.crc32(want[s : s + n].tobytes()) for s, n, c in mine) and {r["doc_tokens"] for r in got if r["doc_id"] == 1} == {len(want)}
+
+
 def test_packing_puts_like_documents_together():
     ids = np.array([5, 6, 7, 1] + [20, 21, 22, 1] + [5, 6, 8, 1] + [20, 21, 23, 1])
     pieces = packing.fill_windows(ids, np.array([4, 4, 4, 4]), np.ones(30, np.float32), 4.0, 8)
