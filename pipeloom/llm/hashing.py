@@ -32,7 +32,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def hash_runs(data: np.ndarray, start: np.ndarray, stop: np.ndarray, slab: int = 1 << 20) -> np.ndarray:
+def hash_runs(data: np.ndarray, start: np.ndarray, stop: np.ndarray, slab: int = 1 << 18) -> np.ndarray:
     """A 64-bit hash of each data[start:stop]; runs are in order, don't overlap and aren't empty.
 
     Multilinear: each place has a factor of its own, drawn at random and not as powers of one number, so runs built to collide

@@ -85,19 +85,33 @@ def chunks(data: np.ndarray, at: np.ndarray, spaced: bool, marks: bool = True) -
 class ChunkMemory:
     """Remembers a run of numbers for each distinct chunk of text: `learn` gets the new chunks' bytes and returns their runs.
 
-    Chunks are known by 64-bit hashes. The memory is bounded: it is emptied once it holds `most` chunks; chunks of
-    over 256 bytes stay out and are learnt each time. specials: strings that chunks must not cut.
+    Chunks are known by 64-bit hashes. The memory is bounded: once it holds `most` chunks, those that weren't met again since the last time are
+    dropped; chunks of over 256 bytes stay out and are learnt each time. specials: strings that chunks must not cut.
     """
 
-    def __init__(self, learn, spaced: bool, specials: list[bytes], most: int = 1_500_000):
+    def __init__(self, learn, spaced: bool, specials: list[bytes], most: int = 800_000):
         self.learn, self.spaced, self.specials, self.most = learn, spaced, specials, most
         self._empty()
 
     def _empty(self) -> None:
         self.table = HashTable()
         self.flat, self.starts, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
+        self.keys, self.again = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, bool)
 
-    def _store(self, runs: list) -> None:
+    def _drop(self) -> None:
+        """Forgets the chunks that weren't met again; all, if that frees too little."""
+        keep = np.flatnonzero(self.again[: self.n])
+        keys, start, stop = self.keys[keep], self.starts[keep], self.starts[keep + 1]
+        flat = take_runs(self.flat, start, stop)
+        self._empty()
+        if len(keep) > self.most * 3 // 4 or not len(keep):
+            return
+        self.flat, self.n = flat, len(keep)
+        self.starts = np.concatenate([[0], np.cumsum(stop - start)])
+        self.keys, self.again = keys, np.zeros(len(keep), bool)
+        self.table.add(keys)
+
+    def _store(self, runs: list, keys: np.ndarray) -> None:
         m = np.fromiter(map(len, runs), np.int64, len(runs))
         ends = self.starts[self.n] + np.cumsum(m)
         if self.n + len(m) + 1 > len(self.starts):
@@ -106,21 +120,27 @@ class ChunkMemory:
             self.flat = np.concatenate([self.flat, np.zeros(max(int(ends[-1]), len(self.flat)), np.uint32)])
         self.flat[self.starts[self.n] : ends[-1]] = np.fromiter(chain.from_iterable(runs), np.uint32, int(m.sum()))
         self.starts[self.n + 1 : self.n + 1 + len(m)] = ends
+        if self.n + len(m) > len(self.keys):
+            room = max(len(m), len(self.keys))
+            self.keys, self.again = np.concatenate([self.keys, np.zeros(room, np.uint64)]), np.concatenate([self.again, np.zeros(room, bool)])
+        self.keys[self.n : self.n + len(m)] = keys
+        self.again[self.n : self.n + len(m)] = False
         self.n += len(m)
 
     def _found(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All runs that are known; where in them each chunk's begins and ends; how many chunks each text has; the chunks' hashes."""
         if self.table.n > self.most:
-            self._empty()
+            self._drop()
         whole = data.tobytes()
         start, stop, each = chunks(data, at, self.spaced, not any(s in whole for s in self.specials))
         keys = hash_runs(data, start, stop)
         where = self.table.find(keys)
+        self.again[where[where >= 0]] = True
         new = np.flatnonzero((where < 0) & (stop - start <= 256))
         if len(new):
             _, first = np.unique(keys[new], return_index=True)
             pick = new[first]
-            self._store(self.learn([whole[s:e] for s, e in zip(start[pick].tolist(), stop[pick].tolist(), strict=True)]))
+            self._store(self.learn([whole[s:e] for s, e in zip(start[pick].tolist(), stop[pick].tolist(), strict=True)]), keys[pick])
             self.table.add(keys[pick])
             where[new] = self.table.find(keys[new])
         long = np.flatnonzero(where < 0)
@@ -165,7 +185,6 @@ def _by_text(x: np.ndarray, each: np.ndarray) -> np.ndarray:
 
 def byte_level(path: str, ranks: str | None = None) -> ChunkMemory:
     """Ids of a byte-level vocabulary. ranks: the same vocabulary as a file of ranks, for speed."""
-    full = library(path)
     specials = [s.encode() for s in merges_special(path)]
     if ranks:
         merge, table, pieces = _ranked(ranks)
@@ -178,10 +197,10 @@ def byte_level(path: str, ranks: str | None = None) -> ChunkMemory:
 
     def learn(parts: list[bytes]) -> list[list[int]]:
         if not ranks:
-            return [e.ids for e in full.encode_batch([p.decode() for p in parts], add_special_tokens=False)]
+            return [e.ids for e in library(path).encode_batch([p.decode() for p in parts], add_special_tokens=False)]
         if not any(s in b"\0".join(parts) for s in specials):
             return list(map(plain, parts))
-        return [full.encode(p.decode(), add_special_tokens=False).ids if any(s in p for s in specials) else plain(p) for p in parts]
+        return [library(path).encode(p.decode(), add_special_tokens=False).ids if any(s in p for s in specials) else plain(p) for p in parts]
 
     return ChunkMemory(learn, True, specials)
 
@@ -214,7 +233,6 @@ def word_level(path: str) -> ChunkMemory:
     word's end; chunks with unusual characters or special strings are left to the tokenizers library."""
     import tiktoken
 
-    full = library(path)
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     letters = _letters()
@@ -250,7 +268,7 @@ def word_level(path: str) -> ChunkMemory:
             if PLAIN.match(text) and "<|" not in text:
                 out.append([i for w in WORDS.findall(text.lower()) for i in word_ids(w.encode())])
             else:
-                out.append(full.encode(text, add_special_tokens=False).ids)
+                out.append(library(path).encode(text, add_special_tokens=False).ids)
         return out
 
     return ChunkMemory(learn, False, [s.encode() for s in merges_special(path)])
