@@ -89,7 +89,7 @@ class ChunkMemory:
     dropped; chunks of over 256 bytes stay out and are learnt each time. specials: strings that chunks must not cut.
     """
 
-    def __init__(self, learn, spaced: bool, specials: list[bytes], most: int = 800_000):
+    def __init__(self, learn, spaced: bool, specials: list[bytes], most: int = 500_000):
         self.learn, self.spaced, self.specials, self.most = learn, spaced, specials, most
         self._empty()
 
