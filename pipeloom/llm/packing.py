@@ -103,12 +103,13 @@ def token_table(docs: DataFrame, path: str, end_id: int, key: str, text: str, tr
 
 
 def content_tree(docs: DataFrame, path: str, end_id: int, key: str, text: str, vocabulary: int, shard_tokens: int) -> topics.Tree:
-    """The tree of centres, with about a leaf for each shard, from a sample of the documents. Gathers topics.EACH vectors (of DIM bytes) a shard."""
+    """The tree of centres, with about a leaf for each shard and topics.MOST leaves at most, from a sample of the documents. Gathers topics.EACH vectors
+    (of DIM bytes) a leaf. With more shards than leaves, a leaf goes by its cells and then by a hash over several shards."""
     total = docs.count()
     rows = lambda share: docs.where(F.pmod(F.xxhash64(key, text, F.lit(9)), F.lit(1 << 24)) < int(share * (1 << 24)) + 1) if share < 1 else docs
     _, n, tokens = corpus_statistics(first := token_table(rows(topics.LEAST / max(1, total)), path, end_id, key, text), vocabulary)
     mean = max(1.0, tokens / max(1, n))
-    leaves = max(1, round(total * mean / shard_tokens))
+    leaves = min(topics.MOST, max(1, round(total * mean / shard_tokens)))
     wanted = topics.EACH * leaves
     sample = token_table(rows(wanted / total), path, end_id, key, text) if min(wanted, total) > topics.LEAST else first
     df, n, tokens = corpus_statistics(sample, vocabulary)
@@ -230,12 +231,12 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", si
     assert vocabulary <= 1 << 16
     spark = docs.sparkSession
     tune(spark)
-    tree = spark.sparkContext.broadcast(content_tree(docs, path, end_id, key, text, vocabulary, shard_tokens))  # DIM numbers for each shard
+    tree = spark.sparkContext.broadcast(content_tree(docs, path, end_id, key, text, vocabulary, shard_tokens))  # DIM numbers for each leaf: 34 MB at most
     table = token_table(docs, path, end_id, key, text, tree)
     df, n, tokens = corpus_statistics(table, vocabulary)
     idf, mean = inverse_frequency(df, n), max(1.0, tokens / max(1, n))
     shared = spark.sparkContext.broadcast(idf)  # a number for each id of the vocabulary
-    # a shard is full by tokens or by rows; some cells for each shard are gathered and broadcast
+    # a shard is full by tokens or by rows; the cells, 16 for each leaf and so a million at most, are gathered and broadcast
     load = {r["cell"]: (r["tokens"] + r["n"] * mean) / 2 / shard_tokens for r in table.groupBy("cell").agg(F.sum("n").alias("tokens"), F.count("*").alias("n")).collect()}
     places = spark.createDataFrame(topics.deal(load), "cell long, first long, parts long")
     dealt = table.join(F.broadcast(places), "cell").select("id", "start", "doc_tokens", "ids", (F.col("first") + F.pmod(F.xxhash64("id", "start", "ids", F.lit(5)), F.col("parts"))).alias("shard"))

@@ -19,6 +19,8 @@ import numpy as np
 DIM, SIGNS, SCALE = 128, 4, 400
 #: Documents of the sample: so many at least, and so many for each leaf.
 LEAST, EACH = 4096, 4
+#: Leaves of a tree at most, since trees are broadcast.
+MOST = 1 << 16
 ROUNDS = 6
 
 
