@@ -20,8 +20,6 @@ from .common import cut
 
 #: Rules up to this number (of some 100 bytes each) are broadcast; more are shuffled by hash prefix.
 BROADCAST_RULES = 100_000
-#: Up to this number of urls that a rule fits (of some 200 bytes each) are broadcast; more are shuffled.
-BROADCAST_URLS = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,8 +60,6 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
         .groupBy("__url").agg(F.max(F.struct(F.length("rule").alias("size"), F.col("rule"), F.col("verdict"))).alias("best"))
         .select(F.col("__url").alias("__of"), "best")
     )
-    if best.count() <= BROADCAST_URLS:
-        best = F.broadcast(best)
     # no url that a rule fits is without "://", so what null urls join by meets nothing
     met = rows.withColumn("__by", F.coalesce("__url", F.concat(F.lit("null:"), F.col(key).cast("string")), F.lit(""))).join(best, F.col("__by") == F.col("__of"), "left")
     return met.select(key, host_of(F.col("__url")).alias("host"), path_of(F.col("__url")).alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
