@@ -491,9 +491,15 @@ def _locate_from(c: Column, d: Column, i: Column) -> Column:
 
 def _pattern(x, s, name: str) -> tuple[Value, Value]:
     options(x, name, ("input", "regex"), ("options",))
-    flags = "".join(f for f in x.get("options", "") if f in "imsx")
+    flags = _flags(x)
     v, r = text(compiled(x["input"], s)), text(compiled(x["regex"], s))
-    return v, r.then(lambda c: F.concat(F.lit(f"(?{flags})"), c), kind=STRING) if flags else r
+    return v, r.then(lambda c: F.concat(F.lit(flags), c), kind=STRING) if flags else r
+
+
+def _flags(x: dict) -> str:
+    """The options of a regular expression, as its beginning."""
+    flags = "".join(f for f in x.get("options", "") if f in "imsx")
+    return f"(?{flags})" if flags else ""
 
 
 @operator("$regexMatch")
@@ -508,7 +514,7 @@ def _regex_find(x, s):
     groups = re.compile(x["regex"]).groups if isinstance(x["regex"], str) else 0
 
     def find(c, p):
-        captures = F.array(*[F.regexp_extract(c, x["regex"], i + 1) for i in range(groups)]).cast("array<string>")
+        captures = F.array(*[F.regexp_extract(c, _flags(x) + x["regex"], i + 1) for i in range(groups)]).cast("array<string>")
         whole = F.regexp_substr(c, p)
         # a match begins where the text before it ends: the first place of its text from where the pattern holds
         return F.when(F.regexp_like(c, p), F.struct(whole.alias("match"), (F.regexp_instr(c, p) - 1).cast("int").alias("idx"), captures.alias("captures")))
@@ -862,9 +868,11 @@ def _array_to_object(x, s):
 
 @operator("$mergeObjects")
 def _merge_objects(x, s):
-    values = [v for v in arguments(x, s, "$mergeObjects", 1) if not is_null(v.type)]
-    if not values:
+    items = list(x) if isinstance(x, (list, tuple)) else [x]
+    pairs = [(v, isinstance(i, dict) and not any(k.startswith("$") for k in i)) for v, i in zip(arguments(x, s, "$mergeObjects", 1), items, strict=True) if not is_null(v.type)]
+    if not pairs:
         return s.missing()
+    values, written = [v for v, _ in pairs], [w for _, w in pairs]  # documents that are written out are never null
     if any(isinstance(v.type, T.MapType) for v in values):
         return values[0].then(lambda *c: F.map_concat(*c), *values[1:])
     names = list(dict.fromkeys(n for v in values for n in v.type.fieldNames()))
@@ -872,10 +880,10 @@ def _merge_objects(x, s):
     def merge(*c: Column) -> Column:
         out = []
         for n in names:
-            having = [(d, v) for d, v in zip(c, values, strict=True) if n in v.type.fieldNames()]
+            having = [(d, w) for d, v, w in zip(c, values, written, strict=True) if n in v.type.fieldNames()]
             pick = having[0][0].getField(n)
-            for d, _ in having[1:]:  # the last document that isn't null decides, even with a null
-                pick = F.when(d.isNotNull(), d.getField(n)).otherwise(pick)
+            for d, w in having[1:]:  # the last document that isn't null decides, even with a null
+                pick = d.getField(n) if w else F.when(d.isNotNull(), d.getField(n)).otherwise(pick)
             out.append(pick.alias(n))
         return F.struct(*out)
 
