@@ -30,6 +30,13 @@ from .vocab import SPLIT, ChunkMemory, Merges, chunks, merges
 LEAF, SPREAD, PART = 48, 1 << 16, 1 << 15
 
 
+def even(place: int, size: int) -> int:
+    """The place, brought down to a multiple of a power of two of about an eighth of size: in runs of one character, whose tokens have such lengths, both
+    sides of a cut there agree at once."""
+    step = 1 << max(0, size.bit_length() - 4)
+    return max(1, place // step * step)
+
+
 class TreeEncoder:
     def __init__(self, path: str):
         self.merges: Merges = merges(path)
@@ -44,7 +51,7 @@ class TreeEncoder:
         """The ids of one piece."""
         if len(data) <= leaf:
             return self.merges.plain(data)
-        half = len(data) // 2
+        half = even(len(data) // 2, len(data))
         return self.join(self.run(data[:half], leaf), self.run(data[half:], leaf))
 
     def join_all(self, parts: list[list[int]]) -> list[int]:
@@ -106,7 +113,7 @@ class TreeEncoder:
                         if pieces:
                             yield False, False, pieces
                         n = 1 << (-(-len(p) // most) - 1).bit_length()  # halves of halves
-                        edges = [len(p) * k // n for k in range(n + 1)]
+                        edges = [0, *[even(len(p) * k // n, most) for k in range(1, n)], len(p)]
                         for k in range(n):
                             yield k > 0, False, [p[edges[k] : edges[k + 1]]]
                         pieces, size = [], 0
