@@ -128,7 +128,7 @@ class PrefixCounts:
 @lru_cache(maxsize=2)
 def _memory(path: str) -> ChunkMemory:
     counter = PrefixCounts(path)
-    return ChunkMemory(lambda parts: [counter.of_chunk(p) for p in parts], True, [s.encode() for s in counter.merges.special])
+    return ChunkMemory(lambda parts: [counter.of_chunk(p) for p in parts], True, [s.encode() for s in counter.merges.special], most=1_200_000)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
