@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from math import isfinite
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
 from ..errors import ValidationError
 from ..functions.accumulators import accumulator, needs_order, sort_key
 from ..functions.expressions import compiled, plain
@@ -172,11 +173,11 @@ def set_window_fields(df: DataFrame, spec, ctx: Context):
         if len(how) != 1:
             raise ValidationError("ONE_ACCUMULATOR", f"{name} takes one function")
         (op, x), *_ = how.items()
-        if frame and frame.get("unit") in _MONTHS:
+        if frame and (frame.get("unit") in _MONTHS or _fractional(frame)):
             extra |= {f"__w_{len(extra)}_part": F.struct(*[p.alias(f"p{i}") for i, p in enumerate([*parts, *ctx.kept()])]) if parts or ctx.carry else F.lit(0)}
             part = next(reversed(extra))
-            at, way = _time(order, s)
-            extra |= {f"__w_{len(extra)}_time": at.cast("timestamp")}
+            at, way = _sorted_by(order, s)
+            extra |= {f"__w_{len(extra)}_time": at.cast("timestamp" if "unit" in frame else "double")}
             time = next(reversed(extra))
             new[name] = (op, x, part, time, way, frame)
             continue
@@ -184,12 +185,12 @@ def set_window_fields(df: DataFrame, spec, ctx: Context):
         new[name] = windowed(name, op, x, s, w if keys else w.orderBy(F.lit(1)), framed)
     if not extra:
         return df.withColumns(new), ctx.moved()
-    # calendar frames are written as SQL, which alone has ranges of months
+    # ranges of months and of fractions are written as SQL, which alone has them
     rows, made = df.withColumns(extra), {}
     for name, c in new.items():
         if isinstance(c, tuple):
             op, x, part, time, way, frame = c
-            over = f"OVER (PARTITION BY {part} ORDER BY {time} {'ASC' if way > 0 else 'DESC'} RANGE BETWEEN {_months(frame, 0)} AND {_months(frame, 1)})"
+            over = f"OVER (PARTITION BY {part} ORDER BY {time} {'ASC' if way > 0 else 'DESC'} RANGE BETWEEN {_sql_bound(frame, 0)} AND {_sql_bound(frame, 1)})"
             rows = rows.withColumn(f"__w_{name}_arg", calendar_argument(op, x, s))
             c = calendar(op, f"__w_{name}_arg", over, rows)
         made[name] = c
@@ -201,22 +202,48 @@ _UNITS = {"microsecond": 1, "millisecond": 1_000, "second": 1_000_000, "minute":
 _MONTHS = {"month": 1, "quarter": 3, "year": 12}
 
 
-def _time(order: dict, s) -> tuple[Column, int]:
+def _sorted_by(order: dict, s) -> tuple[Column, int]:
     if len(order) != 1:
-        raise ValidationError("BAD_WINDOW", "a range of time needs one field to sort by")
+        raise ValidationError("BAD_WINDOW", "a range needs one field to sort by")
     (path, way), *_ = order.items()
     return s.field(path).col, way
 
 
-def _months(frame: dict, which: int) -> str:
-    x = frame["range"][which]
+def _whole(x) -> bool:
+    return isinstance(x, int) and not isinstance(x, bool)
+
+
+def _bounds(frame: dict, kind: str) -> list:
+    """The two bounds of the frame: numbers, "current" or "unbounded", the lower one first."""
+    pair = frame[kind]
+    for x in pair:
+        if x not in ("unbounded", "current") and not (_whole(x) or isinstance(x, float) and isfinite(x) and (kind == "range" or x.is_integer())):
+            raise ValidationError("BAD_WINDOW", f"no bound of {kind}: {x!r}")
+    low, high = (0 if x == "current" else x for x in pair)
+    if "unbounded" not in pair and low > high:
+        raise ValidationError("BAD_WINDOW", f"the lower bound {low} lies above the upper one, {high}")
+    return pair
+
+
+def _fractional(frame: dict) -> bool:
+    pair = frame.get("range")
+    return "unit" not in frame and isinstance(pair, list) and any(isinstance(x, float) and not x.is_integer() for x in pair)
+
+
+def _sql_bound(frame: dict, which: int) -> str:
+    if len(frame.get("range") or []) != 2:
+        raise ValidationError("BAD_WINDOW", "a window has documents or range with two bounds")
+    x = _bounds(frame, "range")[which]
     if x == "unbounded":
         return "UNBOUNDED FOLLOWING" if which else "UNBOUNDED PRECEDING"
     if x == "current" or x == 0:
         return "CURRENT ROW"
-    if not isinstance(x, int) or isinstance(x, bool):
+    way = "FOLLOWING" if x > 0 else "PRECEDING"
+    if "unit" not in frame:
+        return f"{float(abs(x))!r}D {way}"
+    if not _whole(x):
         raise ValidationError("BAD_WINDOW", f"{frame['unit']}s are counted in whole numbers")
-    return f"INTERVAL '{abs(x) * _MONTHS[frame['unit']]}' MONTH {'FOLLOWING' if x > 0 else 'PRECEDING'}"
+    return f"INTERVAL '{abs(x) * _MONTHS[frame['unit']]}' MONTH {way}"
 
 
 def _frame(w, frame, order: dict, s):
@@ -225,7 +252,7 @@ def _frame(w, frame, order: dict, s):
     kind = "documents" if "documents" in frame else "range" if "range" in frame else None
     if kind is None or not isinstance(frame[kind], list) or len(frame[kind]) != 2:
         raise ValidationError("BAD_WINDOW", "a window has documents or range with two bounds")
-    low, high = frame[kind]
+    low, high = _bounds(frame, kind)
     if "unit" in frame and (frame["unit"] not in _UNITS or kind != "range"):
         raise ValidationError("BAD_UNIT", f"no unit of a range: {frame['unit']!r}")
     unit = _UNITS.get(frame.get("unit"))
@@ -233,13 +260,15 @@ def _frame(w, frame, order: dict, s):
     def bound(x, edge):
         if x in ("unbounded", "current"):
             return edge if x == "unbounded" else Window.currentRow
-        return round(x * unit) if unit else int(x) if kind == "documents" else x
+        return round(x * unit) if unit else int(x)
 
     a, b = bound(low, Window.unboundedPreceding), bound(high, Window.unboundedFollowing)
     if kind == "documents":
         return w.rowsBetween(a, b)
+    if {low, high} - {"unbounded", "current"}:
+        _sorted_by(order, s)
     if unit:  # a range of time: over microseconds
-        at, way = _time(order, s)
+        at, way = _sorted_by(order, s)
         us = F.unix_micros(at.cast("timestamp"))
         w = w.orderBy(us.asc() if way > 0 else us.desc())
     return w.rangeBetween(a, b)

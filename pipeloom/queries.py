@@ -451,6 +451,7 @@ _DATE = {"o_orderdate": 1}
 for _unit, _n in (("month", 3), ("quarter", 2), ("year", 1)):
     _window(f"max_range_{_unit}s", {"$max": "$o_totalprice", "window": {"range": [-_n, "current"], "unit": _unit}}, f"max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL {_n * {'month': 1, 'quarter': 3, 'year': 12}[_unit]} MONTH PRECEDING AND CURRENT ROW)", sort=_DATE)
 _window("sum_range_months_ahead", {"$sum": "$o_totalprice", "window": {"range": [0, 6], "unit": "month"}}, "round_even(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN CURRENT ROW AND INTERVAL 6 MONTH FOLLOWING), 2)", sort=_DATE, rounded=True)
+_window("count_range_fractions", {"$count": {}, "window": {"range": [-2500.5, 0.75]}}, "count(*) OVER (PARTITION BY o_custkey ORDER BY o_totalprice RANGE BETWEEN 2500.5::DOUBLE PRECEDING AND 0.75::DOUBLE FOLLOWING)", sort={"o_totalprice": 1})
 _window("count_range_weeks", {"$count": {}, "window": {"range": [-8, 8], "unit": "week"}}, "count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL 56 DAY PRECEDING AND INTERVAL 56 DAY FOLLOWING)", sort=_DATE)
 for _unit, _n, _sql in (("millisecond", 90_000_000, "90000 SECOND"), ("hour", 30, "30 HOUR")):
     define(f"window_range_{_unit}s", "events", [{"$match": {"ts": {"$ne": None}}}, {"$setWindowFields": {"partitionBy": "$user_id", "sortBy": {"ts": 1}, "output": {"n": {"$count": {}, "window": {"range": [-_n, "current"], "unit": _unit}}}}}, {"$project": {"_id": 0, "event_id": 1, "n": 1}}], f"SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL {_sql} PRECEDING AND CURRENT ROW) AS n FROM events WHERE ts IS NOT NULL")

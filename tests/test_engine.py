@@ -330,3 +330,32 @@ def test_groups_of_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["_id"], r["start"].minute, r["n"]) for r in spark.table("groups").collect()) == [("x", 0, 2), ("x", 5, 1), ("y", 5, 1)]
+
+
+def test_ranges_of_fractions(spark):
+    e = Engine(spark, Catalog(spark, {"t": spark.createDataFrame([(1, 1.0), (2, 1.4), (3, 2.0), (4, None)], "k int, x double")}))
+
+    def counts(by, bounds):
+        w = {"sortBy": by, "output": {"n": {"$count": {}, "window": {"range": bounds}}, "s": {"$sum": "$k", "window": {"range": bounds}}}}
+        return [(r["k"], r["n"], r["s"]) for r in sorted(e.aggregate("t", [{"$setWindowFields": w}]).collect(), key=lambda r: r["k"])]
+
+    assert counts({"x": 1}, [-0.5, 0]) == [(1, 1, 1), (2, 2, 3), (3, 1, 3), (4, 1, 4)]
+    assert counts({"x": -1}, [-0.7, "current"]) == [(1, 2, 3), (2, 2, 5), (3, 1, 3), (4, 1, 4)]
+    assert counts({"k": 1}, [0.5, 1.5]) == [(1, 1, 2), (2, 1, 3), (3, 1, 4), (4, 0, 0)]
+    assert counts({"k": 1}, ["unbounded", 0.5]) == [(1, 1, 1), (2, 2, 3), (3, 3, 6), (4, 4, 10)]
+
+
+@pytest.mark.parametrize("by, window", [
+    ({"k": 1}, {"documents": [-1.5, 0]}), ({"k": 1}, {"documents": [2, -2]}), ({"k": 1}, {"range": ["current", -0.5]}), ({"k": 1}, {"documents": ["first", 0]}),
+    ({}, {"range": [-2, 0]}), ({"k": 1, "x": 1}, {"range": [-2, 0]}), ({"k": 1}, {"range": [0]}), ({"k": 1}, {"documents": [-1, 0], "unit": "month"}),
+])
+def test_frames_that_are_refused(spark, by, window):
+    e = Engine(spark, Catalog(spark, {"t": spark.createDataFrame([(1, 1.0)], "k int, x double")}))
+    with pytest.raises(ValidationError, match="BAD_WINDOW"):
+        e.aggregate("t", [{"$setWindowFields": {"sortBy": by, "output": {"n": {"$count": {}, "window": window}}}}])
+
+
+def test_range_over_several_keys_without_numbers(spark):
+    e = Engine(spark, Catalog(spark, {"t": spark.createDataFrame([(1, 1.0), (1, 1.0), (2, 1.0)], "k int, x double")}))
+    w = {"sortBy": {"k": 1, "x": 1}, "output": {"n": {"$count": {}, "window": {"range": ["unbounded", "current"]}}}}
+    assert sorted(r["n"] for r in e.aggregate("t", [{"$setWindowFields": w}]).collect()) == [2, 2, 3]
