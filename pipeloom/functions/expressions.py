@@ -73,9 +73,34 @@ def plain(x):
     return x
 
 
+class Empty(Value):
+    """The array literal without elements: of texts, unless it meets arrays of another type."""
+
+    __slots__ = ()
+
+    def as_type(self, kind: T.DataType) -> Value:
+        kind = _nullable(kind)
+        return Value(F.array().cast(kind), self.frame, kind=kind)
+
+
+def _nullable(kind: T.DataType) -> T.DataType:
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_nullable(kind.elementType))
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _nullable(f.dataType)) for f in kind.fields])
+    return kind
+
+
+def met(values: list[Value]) -> list[Value]:
+    """The values, of which empty array literals take the type of the first other array."""
+    kind = next((v.type for v in values if not isinstance(v, Empty) and isinstance(v.type, T.ArrayType)), None)
+    return values if kind is None else [v.as_type(kind) if isinstance(v, Empty) else v for v in values]
+
+
 def array_of(values: list[Value], s: Scope) -> Value:
     if not values:
-        return Value(F.array().cast("array<string>"), s.frame, kind=T.ArrayType(STRING))
+        return Empty(F.array().cast("array<string>"), s.frame, kind=T.ArrayType(STRING))
+    values = met(values)
     if len({rank(v.type) for v in values if not is_null(v.type)}) > 1:
         values = [text(v) for v in values]
     return values[0].then(lambda *c: F.array(*c), *values[1:])
@@ -342,7 +367,8 @@ OPERATORS["$sum"], OPERATORS["$avg"] = _over_values("$sum", False), _over_values
 
 
 def _choose(s: Scope, branches: list[tuple[Value, Value]], other: Value | None) -> Value:
-    results = [r for _, r in branches] + ([other] if other is not None else [])
+    results = met([r for _, r in branches] + ([other] if other is not None else []))
+    branches, other = [(c, r) for (c, _), r in zip(branches, results)], results[-1] if other is not None else None
     if len({rank(v.type) for v in results if not is_null(v.type)}) > 1:
         branches, other = [(c, text(r)) for c, r in branches], text(other) if other is not None else None
     flat = [v for pair in branches for v in pair] + ([other] if other is not None else [])
@@ -367,7 +393,7 @@ def _cond(x, s):
 
 @operator("$ifNull")
 def _if_null(x, s):
-    values = arguments(x, s, "$ifNull", 2)
+    values = met(arguments(x, s, "$ifNull", 2))
     same = len({rank(v.type) for v in values if not is_null(v.type)}) <= 1
     values = values if same else [text(v) for v in values]
     return values[0].then(lambda *c: F.coalesce(*c), *values[1:])
@@ -575,13 +601,27 @@ OPERATORS |= {
 }
 
 #: Parts of a date format, as Spark's formatter has them (fixed values).
-_DATE_PARTS = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%L": "SSS", "%j": "DDD", "%%": "'%'"}
+_DATE_PARTS = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%L": "SSS", "%j": "DDD", "%z": "xx"}
+
+
+def _date_pattern(form: str) -> str:
+    """The format as a pattern of Spark's, its other text in quotes."""
+    out, other = "", ""
+    for part in [*re.findall(r"%.?|[^%]+", form, re.S), ""]:
+        if part == "%%" or part and part[0] != "%":
+            other += part[-1] if part == "%%" else part
+            continue
+        if part and part not in _DATE_PARTS:
+            raise UnsupportedOperatorError(f"$dateToString with {part}")
+        out += ("'" + other.replace("'", "''") + "'" if other else "") + _DATE_PARTS.get(part, "")
+        other = ""
+    return out
 
 
 @operator("$dateToString")
 def _date_to_string(x, s):
     options(x, "$dateToString", ("date",), ("format", "onNull"))
-    form = re.sub(r"%[A-Za-z%]|[A-Za-z]+", lambda m: _DATE_PARTS.get(m[0], f"'{m[0]}'"), x.get("format", "%Y-%m-%dT%H:%M:%S.%LZ"))
+    form = _date_pattern(x.get("format", "%Y-%m-%dT%H:%M:%S.%LZ"))
     v = date(compiled(x["date"], s)).then(lambda c: F.date_format(c, form), kind=STRING)
     return v.then(lambda c, d: F.coalesce(c, d), text(compiled(x["onNull"], s)), kind=STRING) if "onNull" in x else v
 
@@ -604,7 +644,7 @@ def an_array(v: Value) -> Value:
 
 
 def _same_elements(values: list[Value]) -> list[Value]:
-    values = [an_array(v) for v in values]
+    values = met([an_array(v) for v in values])
     if len({rank(elements(v)) for v in values if not is_null(elements(v))}) > 1:
         return [each(v, lambda e: text(e)) for v in values]
     return values
@@ -677,6 +717,9 @@ def _reduce(x, s):
     options(x, "$reduce", ("input", "initialValue", "in"))
     v, start = an_array(compiled(x["input"], s)), compiled(x["initialValue"], s)
     first = sample(v)
+    if isinstance(start, Empty):  # it is what the first step makes of it
+        body = compiled(x["in"], _outside(s).bind(value=start, this=Value(first.probe(), s.frame, kind=first.type)))
+        start = start.as_type(body.type) if isinstance(body.type, T.ArrayType) else start
     if is_number(start.type):  # sums may leave the type of their start
         start = number(start)
         body = compiled(x["in"], _outside(s).bind(value=Value(start.probe(), s.frame, kind=start.type), this=Value(first.probe(), s.frame, kind=first.type)))
@@ -790,7 +833,8 @@ def _index_of_array(x, s):
 def _set(name: str, f, low: int, high: int | None, kind=None):
     def op(x, s):
         values = _same_elements(arguments(x, s, name, low, high))
-        return values[0].then(lambda *c: f(*c), *values[1:], kind=kind or values[0].type)
+        same = values[0].type if all(v.type == values[0].type for v in values) else None
+        return values[0].then(lambda *c: f(*c), *values[1:], kind=kind or same)
 
     return op
 

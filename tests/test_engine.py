@@ -359,3 +359,30 @@ def test_range_over_several_keys_without_numbers(spark):
     e = Engine(spark, Catalog(spark, {"t": spark.createDataFrame([(1, 1.0), (1, 1.0), (2, 1.0)], "k int, x double")}))
     w = {"sortBy": {"k": 1, "x": 1}, "output": {"n": {"$count": {}, "window": {"range": ["unbounded", "current"]}}}}
     assert sorted(r["n"] for r in e.aggregate("t", [{"$setWindowFields": w}]).collect()) == [2, 2, 3]
+
+
+def test_empty_arrays_take_the_type_they_meet(engine):
+    assert value(engine, {"$setUnion": [[2, 1], []]}) == [1, 2]
+    assert value(engine, {"$setUnion": [[], [2, 1]]}) == [1, 2]
+    assert value(engine, {"$setUnion": [[1], [2.5]]}) == [1.0, 2.5]
+    assert value(engine, {"$sum": {"$setUnion": [[1], [2.5]]}}) == 3.5
+    assert value(engine, {"$setDifference": [[1, 2], []]}) == [1, 2]
+    assert value(engine, {"$concatArrays": [[], ["$qty"], []]}) == [2]
+    assert value(engine, {"$reduce": {"input": [1, 2], "initialValue": [], "in": {"$concatArrays": ["$$value", ["$$this"]]}}}) == [1, 2]
+    kept = {"$cond": [{"$gt": ["$$this.n", 1]}, {"$concatArrays": ["$$value", ["$$this"]]}, "$$value"]}
+    assert value(engine, {"$reduce": {"input": [{"n": 1}, {"n": 2}], "initialValue": [], "in": kept}}) == [{"n": 2}]
+    assert value(engine, {"$ifNull": [{"$cond": [True, None, ["$qty"]]}, []]}) == []
+    assert value(engine, {"$sum": {"$ifNull": [["$qty", 3], []]}}) == 5
+    assert value(engine, {"$cond": [True, ["$qty"], []]}) == [2]
+    assert value(engine, {"$switch": {"branches": [{"case": False, "then": []}], "default": [1.5]}}) == [1.5]
+    assert value(engine, [[1], []]) == [[1], []]
+    assert value(engine, []) == []
+
+
+def test_formats_of_dates(engine):
+    at = {"$toDate": "2024-12-30T03:04:05.678Z"}
+    assert value(engine, {"$dateToString": {"date": at, "format": "%d.%m.%Y o'clock [%H]%%%j#%z"}}) == "30.12.2024 o'clock [03]%365#+0000"
+    assert value(engine, {"$dateToString": {"date": at}}) == "2024-12-30T03:04:05.678Z"
+    assert value(engine, {"$dateToString": {"date": at, "format": "day"}}) == "day"
+    with pytest.raises(UnsupportedOperatorError, match="%V"):
+        value(engine, {"$dateToString": {"date": at, "format": "%Y-%V"}})
