@@ -315,6 +315,8 @@ _part("filter", {"$filter": {"input": _W, "as": "w", "cond": {"$gt": [{"$strLenC
 _part("map", {"$map": {"input": _W, "as": "w", "in": {"$toUpper": "$$w"}}}, f"list_transform({_L}, lambda w: upper(w))")
 _part("map_outer_field", {"$map": {"input": _W, "as": "w", "in": {"$concat": ["$$w", ":", "$p_brand"]}}}, f"list_transform({_L}, lambda w: w || ':' || p_brand)")
 _part("reduce_sum", {"$reduce": {"input": _W, "initialValue": 0, "in": {"$add": ["$$value", {"$strLenCP": "$$this"}]}}}, f"list_sum(list_transform({_L}, lambda w: length(w)))::BIGINT")
+_part("reduce_array", {"$reduce": {"input": _W, "initialValue": [], "in": {"$concatArrays": ["$$value", [{"$strLenCP": "$$this"}]]}}}, f"list_transform({_L}, lambda w: length(w)::INT)")
+_part("set_union_empty", {"$setUnion": [{"$map": {"input": _W, "as": "w", "in": {"$strLenCP": "$$w"}}}, []]}, f"list_sort(list_distinct(list_transform({_L}, lambda w: length(w)::INT)))")
 _part("reduce_concat", {"$reduce": {"input": _W, "initialValue": "", "in": {"$concat": ["$$value", "$$this"]}}}, "replace(p_name, ' ', '')")
 _part("concat_arrays", {"$concatArrays": [_W, ["x"]]}, f"list_concat({_L}, ['x'])")
 _part("slice", {"$slice": [_W, 1]}, f"{_L}[1:1]")

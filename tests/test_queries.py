@@ -10,7 +10,7 @@ import pytest
 from pipeloom import queries
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["pricing_summary", "match_not_field", "match_nin", "project_nested", "unwind_index", "redact_descend", "bucket_auto", "facet_skip", "acc_first_mixed", "acc_push", "lookup_pipeline", "lookup_pipeline_self", "graph_lookup_chain", "window_max_range_days", "window_shift_ahead", "expr_slice_middle", "expr_reduce_sum", "expr_date_week", "pipe_conversations", "lookup_array_unwind", "lookup_array_size", "match_elem_match", "window_max_range_months", "window_range_milliseconds", "window_push_null", "out_written", "merge_insert", "stream_stateless", "own_stage", "facet_mixed_order", "bucket_auto_ties"]
+NAMES = ["pricing_summary", "match_not_field", "match_nin", "project_nested", "unwind_index", "redact_descend", "bucket_auto", "facet_skip", "acc_first_mixed", "acc_push", "lookup_pipeline", "lookup_pipeline_self", "graph_lookup_chain", "window_max_range_days", "window_shift_ahead", "expr_slice_middle", "expr_reduce_sum", "expr_reduce_array", "window_count_range_fractions", "expr_date_week", "pipe_conversations", "lookup_array_unwind", "lookup_array_size", "match_elem_match", "window_max_range_months", "window_range_milliseconds", "window_push_null", "out_written", "merge_insert", "stream_stateless", "own_stage", "facet_mixed_order", "bucket_auto_ties"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 
